@@ -7,6 +7,7 @@ is padding and always gives the zero vector.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -129,13 +130,12 @@ def bag_mean(
             vectors = F.broadcast(_feature_table(table, fid, f"_k{i}", f"_v{i}"))
             on = (F.col(f"_i{i}") == F.col(f"_k{i}")) & (F.col(f"_i{i}") > 0)
             joined = joined.join(vectors, on, "left")
-        means = []
-        for d in range(width):
-            total = F.lit(0.0)
-            for i in range(n_slots):
-                total = total + F.coalesce(F.get(f"_v{i}", F.lit(d)).cast("double"), F.lit(0.0))
-            means.append((total / F.col("_n")).cast("double"))
-        return joined.select(*keys, F.array(*means).alias(name))
+        def total(d: Column) -> Column:
+            values = [F.coalesce(F.get(f"_v{i}", d).cast("double"), F.lit(0.0)) for i in range(n_slots)]
+            return reduce(lambda a, b: a + b, values)
+
+        mean = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda d: total(d) / F.col("_n"))
+        return joined.select(*keys, mean.alias(name))
     long = df.select(*keys, F.posexplode(ids).alias("_pos", "_id"))
     keyed = long.withColumn("_key", _join_key(long, "_id"))
     vectors = _feature_table(table, fid, "_key", "_vec")

@@ -26,8 +26,14 @@ def build_history(
 
     ``payload`` names the lists and gives the value each earlier row puts in.
     The lists run from oldest to newest and stay aligned with each other.
+
+    The lists are many times larger than the rows they are built from, so the
+    number of partitions is fixed: adaptive execution would judge them by the
+    rows it shuffles and merge them into a few oversized tasks.
     """
     grouped, _ = bounded_groups(df, keys, order, n, max_rows)
+    n_partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = grouped.repartition(n_partitions, *keys, CHUNK)
     frame = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(-n, -1)
     item = F.struct(*[value.alias(name) for name, value in payload.items()])
     listed = grouped.withColumn("_history", F.collect_list(item).over(frame)).filter(~F.col(CONTEXT))

@@ -26,26 +26,32 @@ SEQUENCE_CATALOG = Catalog(
 SEQUENCE_LEN = 8
 
 
-def digest(vec: str, name: str = "") -> list[Column]:
-    """Sums that pin down a vector's values and their order, plus its two ends."""
+def digest(vec: str) -> list[Column]:
+    """Sums that pin down a vector's values and their order: for computed vectors."""
     zero = F.lit(0.0)
     total = F.aggregate(vec, zero, lambda acc, x: acc + x)
     placed = F.aggregate(F.transform(vec, lambda x, i: x.cast("double") * (i + 1)), zero, lambda acc, x: acc + x)
-    return [
-        t.rounded(total).alias(f"{name}total"),
-        t.rounded(placed).alias(f"{name}placed"),
-        t.rounded(F.get(vec, F.lit(0))).alias(f"{name}first"),
-        t.rounded(F.element_at(vec, -1)).alias(f"{name}last"),
-    ]
+    return [t.rounded(total).alias("total"), t.rounded(placed).alias("placed")]
 
 
 def digest_sql(vec: str) -> str:
     doubles = f"list_transform({vec}, lambda x: x::DOUBLE)"
     placed = f"list_transform(range(0, len({vec})), lambda i: ({vec})[i + 1]::DOUBLE * (i + 1))"
-    return (
-        f"{sql.r6(f'list_sum({doubles})')} AS total, {sql.r6(f'list_sum({placed})')} AS placed, "
-        f"{sql.r6(f'({vec})[1]')} AS first, {sql.r6(f'({vec})[-1]')} AS last"
-    )
+    return f"{sql.r6(f'list_sum({doubles})')} AS total, {sql.r6(f'list_sum({placed})')} AS placed"
+
+
+def probes(vec: str, positions: tuple[int, ...]) -> list[Column]:
+    """Length and a few values: enough for vectors that are moved as a whole."""
+    values = [t.rounded(F.get(vec, F.lit(p))).alias(f"v{p}") for p in positions]
+    return [F.size(vec).alias("width"), *values]
+
+
+def probes_sql(vec: str, positions: tuple[int, ...]) -> str:
+    return f"len({vec})::INTEGER AS width, " + ", ".join(f"{sql.r6(f'({vec})[{p + 1}]')} AS v{p}" for p in positions)
+
+
+ONE = (0, 17, 40, 63)
+THREE = (0, 40, 63, 64, 127, 128, 150, 191)
 
 
 ZEROS = f"list_transform(range(0, {WIDTH}), lambda z: 0::FLOAT)"
@@ -56,14 +62,14 @@ ZEROS = f"list_transform(range(0, {WIDTH}), lambda z: 0::FLOAT)"
     f"""WITH {sql.EMBEDDING_TABLE},
 found AS (SELECT l_orderkey, l_linenumber, l_partkey, l_partkey % {IDS + 1} AS id, coalesce(e.vec, {ZEROS}) AS vec
   FROM lineitem l LEFT JOIN emb e ON e.fid = 1 AND e.id = l.l_partkey % {IDS + 1} AND e.id > 0)
-SELECT l_orderkey, l_linenumber, l_partkey, {digest_sql('vec')} FROM found""",
+SELECT l_orderkey, l_linenumber, l_partkey, {probes_sql('vec', ONE)} FROM found""",
 )
 def embedding_lookup(spark: SparkSession, sf: str) -> DataFrame:
     rows = t.table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", (F.col("l_partkey") % (IDS + 1)).alias("id")
     )
     found = embed.lookup(rows, "id", 1, t.embedding_table(spark, sf), WIDTH)
-    return found.select("l_orderkey", "l_linenumber", "l_partkey", *digest("vec"))
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", *probes("vec", ONE))
 
 
 @query(
@@ -99,12 +105,12 @@ pairs AS (
           LEFT JOIN emb b ON b.fid = 2 AND b.id = ev.user_id % {IDS + 1})"""
 
 
-@query("group_concat_vec", f"WITH {_PAIR_SQL} SELECT event_id, {digest_sql('vec')} FROM pairs")
+@query("group_concat_vec", f"WITH {_PAIR_SQL} SELECT event_id, {probes_sql('vec', THREE)} FROM pairs")
 def group_concat_vec(spark: SparkSession, sf: str) -> DataFrame:
     """Two looked-up features around a skipped one."""
     features = [(1, "id_1"), (None, "id_1"), (2, "id_2")]
     found = embed.lookup_concat(_pair_rows(spark, sf), ["event_id"], features, t.embedding_table(spark, sf), WIDTH)
-    return found.select("event_id", *digest("vec"))
+    return found.select("event_id", *probes("vec", THREE))
 
 
 _WIDE_LEN = 3 * WIDTH
@@ -135,7 +141,7 @@ ids AS (SELECT event_id, pos::INTEGER AS pos,
                CASE WHEN ks[pos + 1] > 0 AND ks[pos + 1] < 100 THEN ks[pos + 1] ELSE 0 END AS id_2 FROM positions),
 vecs AS (SELECT event_id, pos, list_concat(coalesce(a.vec, {ZEROS}), coalesce(b.vec, {ZEROS}), {ZEROS}) AS vec
          FROM ids LEFT JOIN emb a ON a.fid = 1 AND a.id = id_1 LEFT JOIN emb b ON b.fid = 2 AND b.id = id_2)
-SELECT event_id, pos, {digest_sql('vec')} FROM vecs""",
+SELECT event_id, pos, {probes_sql('vec', THREE)} FROM vecs""",
 )
 def seq_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Per position the vectors of type and k; the large time vocabulary is skipped."""
@@ -143,4 +149,4 @@ def seq_vectors(spark: SparkSession, sf: str) -> DataFrame:
         t.event_history(spark, sf), SEQUENCE_CATALOG, "seq_a", ["event_id"], SEQUENCE_LEN,
         t.embedding_table(spark, sf), WIDTH, skip_above=1_000_000,
     )
-    return found.select("event_id", "pos", *digest("vec"))
+    return found.select("event_id", "pos", *probes("vec", THREE))

@@ -22,97 +22,104 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_catalog(documents: DataFrame, column: str) -> DataFrame:
-    """Long catalog from a column of catalog documents (normally a single row)."""
-    doc = documents.select(F.from_json(column, DOCUMENT_TYPE).alias("d")).select("d.*")
-    parts = [_flat_group(doc, grp) for grp in COLUMN_PREFIX] + [_sequences(doc)]
-    catalog = parts[0]
-    for part in parts[1:]:
-        catalog = catalog.unionByName(part)
-    return catalog
-
+    """Long catalog from a column of catalog documents (normally a single row).
 
-def _flat_group(doc: DataFrame, grp: str) -> DataFrame:
-    dense = grp == "user_dense"
-    features = doc.select(F.posexplode(grp).alias("slot", "f"))
-    dim = F.get("f", F.lit(1 if dense else 2)).cast("int")
-    sized = features.select(
-        "slot",
-        F.get("f", F.lit(0)).alias("fid"),
-        (F.lit(-1).cast("bigint") if dense else F.get("f", F.lit(1))).alias("vocab"),
-        dim.alias("dim"),
-    )
-    # The catalog has one row per column of the sample table, so a single
-    # window over it stays small however large the data is.
-    before = Window.partitionBy(F.lit(grp)).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    return sized.select(
-        F.lit(grp).alias("grp"),
-        F.lit("").alias("domain"),
+    All groups are turned into one list of entries and exploded together, so
+    the documents are read once.
+    """
+    doc = documents.select(F.from_json(column, DOCUMENT_TYPE).alias("d")).select("d.*")
+    flat = [_flat_entries(grp) for grp in COLUMN_PREFIX]
+    sequences = F.flatten(F.transform(F.map_entries("seq"), lambda s: _sequence_entries(s["key"], s["value"])))
+    entries = doc.select(F.inline(F.concat(*flat, sequences)))
+    # The catalog has one row per column of the sample table, so windows over
+    # it stay small however large the data is.
+    before = Window.partitionBy("grp", "domain").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("dim").over(before), F.lit(0))
+    slot = F.coalesce(F.count_if(~F.col("is_ts")).over(before), F.lit(0))
+    return entries.select(
+        "grp",
+        "domain",
         "fid",
-        F.concat(F.lit(COLUMN_PREFIX[grp] + "_"), "fid").alias("column"),
+        "column",
         "vocab",
         "dim",
-        F.coalesce(F.sum("dim").over(before), F.lit(0)).cast("int").alias("offset"),
-        "slot",
-        F.lit(False).alias("is_ts"),
+        F.when(F.col("grp") == "seq", F.lit(-1)).otherwise(offset).cast("int").alias("offset"),
+        F.when(F.col("is_ts"), F.lit(-1)).otherwise(slot).cast("int").alias("slot"),
+        "is_ts",
     )
 
 
-def _sequences(doc: DataFrame) -> DataFrame:
-    features = doc.select(F.explode("seq").alias("domain", "s")).select(
-        "domain", "s.prefix", "s.ts_fid", F.posexplode("s.features").alias("pos", "f")
-    )
-    fid = F.get("f", F.lit(0))
-    flagged = features.select(
-        "domain", "prefix", "pos", fid.alias("fid"), F.get("f", F.lit(1)).alias("vocab"),
-        fid.eqNullSafe(F.col("ts_fid")).alias("is_ts"),
-    )
-    before = Window.partitionBy("domain").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    slot = F.coalesce(F.count_if(~F.col("is_ts")).over(before), F.lit(0)).cast("int")
-    return flagged.select(
-        F.lit("seq").alias("grp"),
-        "domain",
-        "fid",
-        F.concat("prefix", F.lit("_"), "fid").alias("column"),
-        "vocab",
-        F.lit(1).alias("dim"),
-        F.lit(-1).alias("offset"),
-        F.when(F.col("is_ts"), F.lit(-1)).otherwise(slot).alias("slot"),
-        "is_ts",
+def _entry(grp: Column, domain: Column, pos: Column, fid: Column, prefix: Column, vocab: Column, dim: Column, is_ts: Column) -> Column:
+    return F.struct(
+        grp.alias("grp"),
+        domain.alias("domain"),
+        pos.alias("pos"),
+        fid.alias("fid"),
+        F.concat(prefix, F.lit("_"), fid.cast("string")).alias("column"),
+        vocab.cast("bigint").alias("vocab"),
+        dim.cast("int").alias("dim"),
+        is_ts.alias("is_ts"),
     )
 
 
-def catalog_document(catalog: DataFrame) -> DataFrame:
-    """One row holding the catalog as a JSON document: the inverse of :func:`parse_catalog`."""
+def _flat_entries(grp: str) -> Column:
+    dense = grp == "user_dense"
+
+    def entry(f: Column, i: Column) -> Column:
+        vocab = F.lit(-1) if dense else F.get(f, F.lit(1))
+        dim = F.get(f, F.lit(1 if dense else 2))
+        return _entry(
+            F.lit(grp), F.lit(""), i, F.get(f, F.lit(0)), F.lit(COLUMN_PREFIX[grp]), vocab, dim, F.lit(False)
+        )
 
-    def in_order(condition: Column, order: Column, *values: Column) -> Column:
-        entry = F.when(condition, F.struct(order.alias("o"), F.array(*values).alias("v")))
-        return F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["v"])
+    return F.transform(grp, entry)
 
-    fid, vocab = F.col("fid"), F.col("vocab")
+
+def _sequence_entries(domain: Column, s: Column) -> Column:
+    def entry(f: Column, i: Column) -> Column:
+        fid = F.get(f, F.lit(0))
+        return _entry(
+            F.lit("seq"), domain, i, fid, s["prefix"], F.get(f, F.lit(1)), F.lit(1), fid.eqNullSafe(s["ts_fid"])
+        )
+
+    return F.transform(s["features"], entry)
+
+
+def catalog_document(catalog: DataFrame) -> DataFrame:
+    """One row holding the catalog as a JSON document: the inverse of :func:`parse_catalog`.
+
+    The catalog's rows, one per column of the sample table, are collected into
+    a single list once and every part of the document is cut out of that list.
+    """
     dim = F.col("dim").cast("bigint")
-    flat = catalog.filter(F.col("grp") != "seq").agg(
-        in_order(F.col("grp") == "user_int", F.col("slot"), fid, vocab, dim).alias("user_int"),
-        in_order(F.col("grp") == "item_int", F.col("slot"), fid, vocab, dim).alias("item_int"),
-        in_order(F.col("grp") == "user_dense", F.col("slot"), fid, dim).alias("user_dense"),
-    )
-    domains = (
-        catalog.filter(F.col("grp") == "seq")
-        .groupBy("domain")
-        .agg(
-            F.first(F.regexp_replace("column", r"_\d+$", "")).alias("prefix"),
-            F.max(F.when(F.col("is_ts"), fid)).alias("ts_fid"),
-            in_order(F.lit(True), F.col("slot"), fid, vocab).alias("features"),
+    row = F.struct("grp", "domain", "slot", "fid", "vocab", dim.alias("dim"), "column", "is_ts")
+    rows = F.col("rows")
+
+    def part(grp: str, *fields: str) -> Column:
+        return F.transform(F.filter(rows, lambda r: r["grp"] == grp), lambda r: F.array(*[r[f] for f in fields]))
+
+    seq = F.filter(rows, lambda r: r["grp"] == "seq")
+
+    def domain_entry(domain: Column) -> Column:
+        mine = F.filter(seq, lambda r: r["domain"] == domain)
+        return F.struct(
+            domain.alias("key"),
+            F.struct(
+                F.regexp_replace(F.get(mine, F.lit(0))["column"], r"_\d+$", "").alias("prefix"),
+                F.get(F.filter(mine, lambda r: r["is_ts"]), F.lit(0))["fid"].alias("ts_fid"),
+                F.transform(mine, lambda r: F.array(r["fid"], r["vocab"])).alias("features"),
+            ).alias("value"),
         )
+
+    domains = F.array_distinct(F.transform(seq, lambda r: r["domain"]))
+    document = F.struct(
+        part("user_int", "fid", "vocab", "dim").alias("user_int"),
+        part("item_int", "fid", "vocab", "dim").alias("item_int"),
+        part("user_dense", "fid", "dim").alias("user_dense"),
+        F.map_from_entries(F.transform(domains, domain_entry)).alias("seq"),
     )
-    seq = domains.agg(
-        F.map_from_entries(
-            F.sort_array(F.collect_list(F.struct("domain", F.struct("prefix", "ts_fid", "features"))))
-        ).alias("seq")
-    )
-    one = F.lit(1)
-    document = flat.withColumn("_one", one).join(seq.withColumn("_one", one), "_one")
-    return document.select(
-        F.to_json(F.struct("user_int", "item_int", "user_dense", "seq"), {"ignoreNullFields": "false"}).alias("doc")
+    return catalog.agg(F.sort_array(F.collect_list(row)).alias("rows")).select(
+        F.to_json(document, {"ignoreNullFields": "false"}).alias("doc")
     )
 
 
@@ -156,11 +163,11 @@ def read_groups(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_groups(documents: DataFrame, column: str) -> DataFrame:
     doc = documents.select(F.from_json(column, GROUPS_TYPE).alias("d")).select("d.*")
-    sides = {"user_int": "user_ns_groups", "item_int": "item_ns_groups"}
-    parts = [
-        doc.select(F.lit(side).alias("side"), F.explode(key).alias("group_name", "fids"))
-        .filter(~F.col("group_name").startswith("_"))
-        .select("side", "group_name", F.posexplode("fids").alias("pos", "fid"))
-        for side, key in sides.items()
-    ]
-    return parts[0].unionByName(parts[1])
+    sides = F.array(
+        F.struct(F.lit("user_int").alias("side"), F.col("user_ns_groups").alias("named")),
+        F.struct(F.lit("item_int").alias("side"), F.col("item_ns_groups").alias("named")),
+    )
+    groups = doc.select(F.inline(sides)).select("side", F.explode("named").alias("group_name", "fids"))
+    return groups.filter(~F.col("group_name").startswith("_")).select(
+        "side", "group_name", F.posexplode("fids").alias("pos", "fid")
+    )
