@@ -142,7 +142,7 @@ def epoch_loss(df: DataFrame, loss: str, batch_keys: Sequence[str]) -> DataFrame
 def hard_examples(df: DataFrame, score: str, label: str, key: str, ratio: float) -> DataFrame:
     """The ``int(rows * ratio)`` rows whose score is farthest from the label; ties by key."""
     errors = df.withColumn("error", F.abs(F.col(score) - F.col(label)))
-    return select_first(errors, int(df.count() * ratio), [("error", True), (key, False)])
+    return select_first(errors, lambda n_rows: int(n_rows * ratio), [("error", True), (key, False)])
 
 
 def last_wins(predictions: DataFrame, user: str, prob: str, order: str) -> DataFrame:

@@ -7,7 +7,7 @@ cost nothing extra beyond a count when no key does.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
@@ -65,7 +65,12 @@ def matches(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
 
 
 def bounded_groups(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], overlap: int, max_rows: int = MAX_GROUP_ROWS
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    overlap: int,
+    max_rows: int = MAX_GROUP_ROWS,
+    sizes_from: DataFrame | None = None,
 ) -> tuple[DataFrame, bool]:
     """Split keys with more than ``max_rows`` rows into consecutive chunks.
 
@@ -73,12 +78,14 @@ def bounded_groups(
     ``overlap`` rows of a chunk are repeated, flagged, in the next one, so a
     window over (keys, chunk) whose frame reaches back at most ``overlap`` rows
     is exact on the unflagged rows. The second result says whether any key was
-    split. ``order`` must be unique inside a key.
+    split. ``order`` must be unique inside a key. ``sizes_from`` may name a
+    cheaper table with the same keys and row counts to find the hot keys in.
     """
     if overlap >= max_rows:
         raise ValueError("overlap must be smaller than max_rows")
     whole = df.withColumn(CHUNK, F.lit(0).cast("bigint")).withColumn(CONTEXT, F.lit(False))
-    hot = df.groupBy(*keys).count().filter(F.col("count") > max_rows).select(*keys)
+    sizes = (df if sizes_from is None else sizes_from).groupBy(*keys).count()
+    hot = sizes.filter(F.col("count") > max_rows).select(*keys)
     found = hot.limit(MAX_BROADCAST_KEYS + 1).count()
     if found == 0:
         return whole, False
@@ -137,51 +144,49 @@ def running_totals(df: DataFrame, order: str, totals: dict[str, Column]) -> Data
     )
 
 
-def select_first(df: DataFrame, n: int, order: Sequence[tuple[str, bool]]) -> DataFrame:
-    """The first ``n`` rows by ``order``, a list of (numeric column, descending).
+def select_first(df: DataFrame, take: Callable[[int], int], order: Sequence[tuple[str, bool]]) -> DataFrame:
+    """The first ``take(number of rows)`` rows by ``order``, a list of (numeric column, descending).
 
-    For an ``n`` that grows with the data, where sort-and-limit would pull all
-    ``n`` rows through one task. The cut value of the first column is found from
+    For a selection that grows with the data, where sort-and-limit would pull
+    all of it through one task. The cut value of the first column is found from
     counts; rows strictly before it are kept as they are and only its ties go on
-    to the next column. The last column should be unique.
+    to the next column. The last column should be unique. ``df`` is scanned
+    several times, so anything costly should be written before.
     """
+    column, descending = order[0]
+    binned = value_bins(df.select(column), column)
+    # At most one row per bin reaches the driver.
+    sizes = binned.groupBy("_bin").agg(F.count(F.lit(1)).alias("n")).collect()
+    total = sum(row["n"] for row in sizes)
+    n = take(total)
     if n <= 0:
         return df.limit(0)
-    column, descending = order[0]
-    cut = _cut_value(df, column, descending, n)
-    if cut is None:
+    if n >= total:
         return df
-    value, before, ties = cut
+    before = 0
+    for row in sorted(sizes, key=lambda r: r["_bin"], reverse=descending):
+        if before + row["n"] >= n:
+            break
+        before += row["n"]
+    value, upto, ties = _cut_in_bin(binned.filter(F.col("_bin") == row["_bin"]), column, descending, n - before)
     here = F.col(column) == F.lit(value)
     first = F.col(column) > F.lit(value) if descending else F.col(column) < F.lit(value)
-    if before + ties <= n or len(order) == 1:
+    missing = n - before - (upto - ties)
+    if missing == ties or len(order) == 1:
         return df.filter(first | here)
-    return df.filter(first).unionByName(select_first(df.filter(here), n - before, order[1:]))
+    return df.filter(first).unionByName(select_first(df.filter(here), lambda _: missing, order[1:]))
 
 
-def _cut_value(df: DataFrame, column: str, descending: bool, n: int) -> tuple[float, int, int] | None:
-    """(value of the n-th row, rows strictly before it, rows equal to it)."""
-    binned = value_bins(df.select(column), column)
-    sizes = binned.groupBy("_bin").agg(F.count(F.lit(1)).alias("n"))
-    before = 0
-    # At most one row per bin reaches the driver here.
-    for row in sorted(sizes.collect(), key=lambda r: r["_bin"], reverse=descending):
-        if before + row["n"] >= n:
-            break
-        before += row["n"]
-    else:
-        return None
-    # Inside the one bin that holds the cut: about total / n_bins rows, and one
-    # row per distinct value after counting.
-    values = binned.filter(F.col("_bin") == row["_bin"]).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+def _cut_in_bin(rows: DataFrame, column: str, descending: bool, n: int) -> tuple[float, int, int]:
+    """(value of the n-th row, rows up to and with that value, rows equal to it).
+
+    One bin holds about total / bins rows; counting leaves one row per value.
+    """
     order = F.col(column).desc() if descending else F.col(column).asc()
     upto = F.sum("n").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    hit = (
-        values.withColumn("upto", upto)
-        .filter((F.col("upto") >= n - before) & (F.col("upto") - F.col("n") < n - before))
-        .first()
-    )
-    return hit[column], before + hit["upto"] - hit["n"], hit["n"]
+    counts = rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).withColumn("upto", upto)
+    hit = counts.filter((F.col("upto") >= n) & (F.col("upto") - F.col("n") < n)).first()
+    return hit[column], hit["upto"], hit["n"]
 
 
 def first_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str = "_rank") -> DataFrame:

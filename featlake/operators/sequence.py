@@ -21,6 +21,7 @@ def build_history(
     payload: dict[str, Column],
     n: int,
     max_rows: int = MAX_GROUP_ROWS,
+    sizes_from: DataFrame | None = None,
 ) -> DataFrame:
     """Add, per row, lists over the up to ``n`` earlier rows of the same key.
 
@@ -31,10 +32,11 @@ def build_history(
     number of partitions is fixed: adaptive execution would judge them by the
     rows it shuffles and merge them into a few oversized tasks.
     """
-    grouped, _ = bounded_groups(df, keys, order, n, max_rows)
+    grouped, split = bounded_groups(df, keys, order, n, max_rows, sizes_from)
+    parts = [*keys, CHUNK] if split else [*keys]
     n_partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grouped = grouped.repartition(n_partitions, *keys, CHUNK)
-    frame = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(-n, -1)
+    grouped = grouped.repartition(n_partitions, *parts)
+    frame = Window.partitionBy(*parts).orderBy(*order).rowsBetween(-n, -1)
     item = F.struct(*[value.alias(name) for name, value in payload.items()])
     listed = grouped.withColumn("_history", F.collect_list(item).over(frame)).filter(~F.col(CONTEXT))
     return listed.select(*df.columns, *[F.col(f"_history.{name}").alias(name) for name in payload])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,7 +136,3 @@ def window_shuffle(
 def shuffle_shards(df: DataFrame, shard: str, n_shards: int) -> DataFrame:
     """Place every shard in its own partition, ready for one reader each."""
     return df.repartition(n_shards, shard)
-
-
-def n_hard(n_rows: int, ratio: float) -> int:
-    return math.floor(n_rows * ratio)

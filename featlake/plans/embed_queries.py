@@ -51,6 +51,7 @@ def probes_sql(vec: str, positions: tuple[int, ...]) -> str:
 
 
 ONE = (0, 17, 40, 63)
+CUT = (0, 1, 17, 36, 37, 38)
 THREE = (0, 40, 63, 64, 127, 128, 150, 191)
 
 
@@ -123,13 +124,13 @@ _CHUNK = -(-_WIDE_LEN // CHUNKS)
 padded AS (SELECT event_id, list_transform(range(0, {_CHUNK * CHUNKS}), lambda i: coalesce(vec[i + 1], 0::FLOAT)) AS vec FROM pairs),
 cut AS (SELECT event_id, c::INTEGER AS chunk, list_slice(vec, c * {_CHUNK} + 1, (c + 1) * {_CHUNK}) AS part
         FROM (SELECT event_id, vec, unnest(range(0, {CHUNKS})) AS c FROM padded))
-SELECT event_id, chunk, len(part)::INTEGER AS width, {digest_sql('part')} FROM cut""",
+SELECT event_id, chunk, {probes_sql('part', CUT)} FROM cut""",
 )
 def vector_chunks(spark: SparkSession, sf: str) -> DataFrame:
     features = [(1, "id_1"), (None, "id_1"), (2, "id_2")]
     found = embed.lookup_concat(_pair_rows(spark, sf), ["event_id"], features, t.embedding_table(spark, sf), WIDTH)
     parts = found.select("event_id", F.posexplode(equal_chunks("vec", _WIDE_LEN, CHUNKS)).alias("chunk", "part"))
-    return parts.select("event_id", "chunk", F.size("part").alias("width"), *digest("part"))
+    return parts.select("event_id", "chunk", *probes("part", CUT))
 
 
 @query(

@@ -127,18 +127,16 @@ def order_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wide_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sample table in the flat column layout, with two sequence domains."""
+    """A sample table in the flat column layout, with two sequence domains.
+
+    The long history lists are built last, on top of the joined rows, so no join
+    ever moves them.
+    """
     k = F.col("k")
 
     def short(size: Column, kind: str, *values: Column) -> Column:
         return F.slice(F.array(*[v.cast(kind) for v in values]), F.lit(1), size.cast("int"))
 
-    history = event_history(spark, sf_dir).select(
-        "event_id",
-        F.col("types").alias("domain_a_seq_38"),
-        F.col("times").alias("domain_a_seq_39"),
-        F.col("ks").alias("domain_a_seq_40"),
-    )
     latest = latest_events(
         orders(spark, sf_dir),
         ["user_id"],
@@ -170,7 +168,18 @@ def wide_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("type_code").alias("item_int_feats_5"),
         short(k % 3 + 1, "bigint", k, k + 1, k + 2).alias("item_int_feats_11"),
     )
-    return base.join(history, "event_id").join(latest, "user_id", "left")
+    return build_history(
+        base.join(latest, "user_id", "left"),
+        ["user_id"],
+        ["timestamp", "event_id"],
+        {
+            "domain_a_seq_38": F.col("item_int_feats_5"),
+            "domain_a_seq_39": F.col("timestamp"),
+            "domain_a_seq_40": F.col("item_id"),
+        },
+        HISTORY,
+        sizes_from=table(spark, sf_dir, "events"),
+    )
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:

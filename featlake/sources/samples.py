@@ -8,7 +8,7 @@ import pandas as pd
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROW_GROUP_SCHEMA = "file string, row_group int, n_rows bigint, first_row bigint"
@@ -29,11 +29,6 @@ def _parquet_files(spark: SparkSession, path: str) -> DataFrame:
     return reader.parquet(path) if path.endswith(".parquet") else reader.option("pathGlobFilter", "*.parquet").parquet(path)
 
 
-def _plain_path(c: Column) -> Column:
-    """Local paths are spelled file:/x or file:///x depending on where Spark reports them."""
-    return F.regexp_replace(c, "^file:/+", "/")
-
-
 def row_groups(spark: SparkSession, path: str) -> DataFrame:
     """(file, row_group, n_rows, first_row) of every row group, from the footers.
 
@@ -44,16 +39,13 @@ def row_groups(spark: SparkSession, path: str) -> DataFrame:
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.parquet")
         .load(path)
-        .select(_plain_path(F.col("path")).alias("file"))
+        .select(F.col("_metadata.file_path").alias("file"))
     )
 
     def footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for file in batch["file"]:
-                if "://" in file:
-                    filesystem, inner = pafs.FileSystem.from_uri(file)
-                else:
-                    filesystem, inner = pafs.LocalFileSystem(), file
+                filesystem, inner = pafs.FileSystem.from_uri(file)
                 with filesystem.open_input_file(inner) as handle:
                     meta = pq.ParquetFile(handle).metadata
                     sizes = [meta.row_group(i).num_rows for i in range(meta.num_row_groups)]
@@ -65,27 +57,51 @@ def row_groups(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(footers, ROW_GROUP_SCHEMA)
 
 
-def with_row_group_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """Sample rows with their block: files in name order, row groups in file order.
-
-    Adds ``block_index`` (dense over the whole table) and ``row_in_block``, so
-    batching needs no sort and no window at all.
-    """
-    groups = row_groups(spark, path)
-    # One row per file: as small as the file listing the driver already holds.
+def file_blocks(groups: DataFrame) -> DataFrame:
+    """Per file, in name order: its row group starts and the dense index of its first block."""
     per_file = groups.groupBy("file").agg(
-        F.sort_array(F.collect_list("first_row")).alias("_starts"), F.count(F.lit(1)).alias("_n")
+        F.sort_array(F.collect_list("first_row")).alias("starts"), F.count(F.lit(1)).alias("n_blocks")
     )
+    # One row per file: as small as the file listing the driver already holds.
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_file.select("file", "_starts", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return per_file.withColumn("base", F.coalesce(F.sum("n_blocks").over(before), F.lit(0)))
+
+
+def read_blocks(spark: SparkSession, path: str, start: int = 0, end: int | None = None) -> DataFrame:
+    """Sample rows of blocks ``[start, end)``, with ``block_index`` and ``row_in_block``.
+
+    A block is a row group; blocks are numbered over the files in name order.
+    The block of a row follows from its file and its place in it, so batching
+    needs no sort and no window. Files wholly outside the range are cut off by a
+    filter on their names.
+    """
+    blocks = file_blocks(row_groups(spark, path))
     rows = read_samples(spark, path).select(
-        "*", _plain_path(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.row_index").alias("_row")
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")
     )
-    inside = F.size(F.filter("_starts", lambda s: s <= F.col("_row"))) - 1
+    if start > 0 or end is not None:
+        inside = F.col("base") + F.col("n_blocks") > start
+        if end is not None:
+            inside = inside & (F.col("base") < end)
+        span = blocks.filter(inside).agg(F.min("file"), F.max("file")).first()
+        if span[0] is None:
+            return _placed(rows.limit(0), blocks)
+        rows = rows.filter(F.col("_metadata.file_path").between(span[0], span[1]))
+    placed = _placed(rows, blocks)
+    if start > 0:
+        placed = placed.filter(F.col("block_index") >= start)
+    return placed if end is None else placed.filter(F.col("block_index") < end)
+
+
+def _placed(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    nth = F.size(F.filter("starts", lambda s: s <= F.col("_row"))) - 1
+    columns = [c for c in rows.columns if c not in ("_file", "_row")]
     return (
-        rows.join(starts, "file")
-        .withColumn("_inside", inside)
-        .withColumn("block_index", F.col("_base") + F.col("_inside"))
-        .withColumn("row_in_block", F.col("_row") - F.get("_starts", F.col("_inside")))
-        .drop("file", "_row", "_starts", "_base", "_inside")
+        rows.join(blocks, rows["_file"] == blocks["file"])
+        .withColumn("_nth", nth)
+        .select(
+            *columns,
+            (F.col("base") + F.col("_nth")).alias("block_index"),
+            (F.col("_row") - F.get("starts", F.col("_nth"))).alias("row_in_block"),
+        )
     )
