@@ -46,13 +46,11 @@ def training_data(
     n_train, n_valid = split_sizes(n_blocks, valid_ratio, train_ratio)
     valid_start = n_blocks - n_valid if valid_from == "tail" else n_train
     lens = DEFAULT_SEQ_MAX_LENS if seq_max_lens is None else seq_max_lens
-    keep = ["block_index", "row_in_block"]
-    batch = F.floor(F.col("row_in_block") / batch_size).cast("int")
+    keep = ["block_index", "row_in_block", "batch"]
 
     def prepared(start: int, end: int) -> DataFrame:
-        rows = read_blocks(spark, path, start, end)
-        inputs = model_input(rows, catalog, lens, True, time_buckets, on_oob, keep)
-        return inputs.withColumn("batch", batch)
+        rows = read_blocks(spark, path, start, end, batch_size)
+        return model_input(rows, catalog, lens, True, time_buckets, on_oob, keep)
 
     train, valid = prepared(0, n_train), prepared(valid_start, n_blocks)
     if buffer_batches > 1:

@@ -57,25 +57,48 @@ def row_groups(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(footers, ROW_GROUP_SCHEMA)
 
 
-def file_blocks(groups: DataFrame) -> DataFrame:
-    """Per file, in name order: its row group starts and the dense index of its first block."""
-    per_file = groups.groupBy("file").agg(
-        F.sort_array(F.collect_list("first_row")).alias("starts"), F.count(F.lit(1)).alias("n_blocks")
+def file_blocks(groups: DataFrame, batch_size: int = 256) -> DataFrame:
+    """Per file, in name order: where its row groups start, in rows, blocks and batches.
+
+    ``starts`` are first rows inside the file, ``batches`` the batches before
+    each row group inside the file; ``base`` and ``batch_base`` count the blocks
+    and batches of the earlier files.
+    """
+    sized = groups.withColumn("n_batches", F.ceil(F.col("n_rows") / batch_size))
+    listed = sized.groupBy("file").agg(
+        F.sort_array(F.collect_list(F.struct("first_row", "n_batches"))).alias("g"),
+        F.count(F.lit(1)).alias("n_blocks"),
+        F.sum("n_batches").alias("file_batches"),
+    )
+    before_each = F.transform(
+        F.col("g"),
+        lambda _, i: F.aggregate(
+            F.slice("g", F.lit(1), i), F.lit(0).cast("bigint"), lambda acc, g: acc + g["n_batches"]
+        ),
     )
     # One row per file: as small as the file listing the driver already holds.
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    return per_file.withColumn("base", F.coalesce(F.sum("n_blocks").over(before), F.lit(0)))
+    return listed.select(
+        "file",
+        F.col("g.first_row").alias("starts"),
+        before_each.alias("batches"),
+        "n_blocks",
+        F.coalesce(F.sum("n_blocks").over(before), F.lit(0)).alias("base"),
+        F.coalesce(F.sum("file_batches").over(before), F.lit(0)).alias("batch_base"),
+    )
 
 
-def read_blocks(spark: SparkSession, path: str, start: int = 0, end: int | None = None) -> DataFrame:
-    """Sample rows of blocks ``[start, end)``, with ``block_index`` and ``row_in_block``.
+def read_blocks(
+    spark: SparkSession, path: str, start: int = 0, end: int | None = None, batch_size: int = 256
+) -> DataFrame:
+    """Sample rows of blocks ``[start, end)``, with ``block_index``, ``row_in_block`` and ``batch``.
 
-    A block is a row group; blocks are numbered over the files in name order.
-    The block of a row follows from its file and its place in it, so batching
-    needs no sort and no window. Files wholly outside the range are cut off by a
-    filter on their names.
+    A block is a row group; blocks are numbered over the files in name order,
+    and so are batches, which never span blocks. All three follow from a row's
+    file and its place in it, so batching needs no sort and no window. Files
+    wholly outside the range are cut off by a filter on their names.
     """
-    blocks = file_blocks(row_groups(spark, path))
+    blocks = file_blocks(row_groups(spark, path), batch_size)
     rows = read_samples(spark, path).select(
         "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")
     )
@@ -85,23 +108,29 @@ def read_blocks(spark: SparkSession, path: str, start: int = 0, end: int | None
             inside = inside & (F.col("base") < end)
         span = blocks.filter(inside).agg(F.min("file"), F.max("file")).first()
         if span[0] is None:
-            return _placed(rows.limit(0), blocks)
+            return _placed(rows.limit(0), blocks, batch_size)
         rows = rows.filter(F.col("_metadata.file_path").between(span[0], span[1]))
-    placed = _placed(rows, blocks)
+    placed = _placed(rows, blocks, batch_size)
     if start > 0:
         placed = placed.filter(F.col("block_index") >= start)
     return placed if end is None else placed.filter(F.col("block_index") < end)
 
 
-def _placed(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+def _placed(rows: DataFrame, blocks: DataFrame, batch_size: int) -> DataFrame:
     nth = F.size(F.filter("starts", lambda s: s <= F.col("_row"))) - 1
     columns = [c for c in rows.columns if c not in ("_file", "_row")]
     return (
         rows.join(blocks, rows["_file"] == blocks["file"])
         .withColumn("_nth", nth)
+        .withColumn("row_in_block", F.col("_row") - F.get("starts", F.col("_nth")))
         .select(
             *columns,
             (F.col("base") + F.col("_nth")).alias("block_index"),
-            (F.col("_row") - F.get("starts", F.col("_nth"))).alias("row_in_block"),
+            "row_in_block",
+            (
+                F.col("batch_base")
+                + F.get("batches", F.col("_nth"))
+                + F.floor(F.col("row_in_block") / batch_size)
+            ).alias("batch"),
         )
     )
