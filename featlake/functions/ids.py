@@ -34,7 +34,7 @@ def in_vocab_or_zero(c: Column | str, vocab: int) -> Column:
 
 def used_length(c: Column | str, limit: int) -> Column:
     """Number of list elements that survive the cut at ``limit``; 0 for a null list."""
-    return F.least(F.coalesce(F.size(as_column(c)), F.lit(0)), F.lit(limit))
+    return F.least(F.coalesce(F.array_size(as_column(c)), F.lit(0)), F.lit(limit))
 
 
 def fixed_width(c: Column | str, width: int, element: Callable[[Column], Column], type_name: str) -> Column:

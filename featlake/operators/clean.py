@@ -135,7 +135,7 @@ def _row_oob(df: DataFrame, f: Feature, limit: int) -> tuple[Column, Column, Col
     any_bad = F.array_max(cut) >= f.vocab
     bad = F.filter(cut, lambda x: x >= f.vocab)
     return (
-        F.when(any_bad, F.size(bad)).otherwise(0),
+        F.when(any_bad, F.array_size(bad)).otherwise(0),
         F.when(any_bad, F.array_max(cut)),
         F.when(any_bad, F.array_min(bad)),
     )

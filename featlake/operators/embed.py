@@ -123,7 +123,7 @@ def bag_mean(
     aggregates, so tasks combine a row's ids before anything is shuffled.
     ``keys`` must identify a row and are the columns kept.
     """
-    count = F.greatest(F.size(F.filter(F.col(ids), lambda x: x != 0)), F.lit(1))
+    count = F.greatest(F.array_size(F.filter(F.col(ids), lambda x: x != 0)), F.lit(1))
     if n_slots <= MAX_SLOTS and fits_broadcast(table.filter(F.col("fid") == fid), width, limit):
         joined = df.select(*keys, count.alias("_n"), *[F.get(ids, F.lit(i)).alias(f"_i{i}") for i in range(n_slots)])
         for i in range(n_slots):

@@ -20,7 +20,7 @@ from featlake.session import write_and_read
 MAX_GROUP_ROWS = 1_000_000
 # Hot keys up to this many are sent to every task; more are joined by shuffle.
 MAX_BROADCAST_KEYS = 100_000
-MAX_BINS = 8192
+MAX_BINS = 32768
 
 CHUNK = "_chunk"
 CONTEXT = "_context"
@@ -86,10 +86,11 @@ def bounded_groups(
     whole = df.withColumn(CHUNK, F.lit(0).cast("bigint")).withColumn(CONTEXT, F.lit(False))
     sizes = (df if sizes_from is None else sizes_from).groupBy(*keys).count()
     hot = sizes.filter(F.col("count") > max_rows).select(*keys)
-    found = hot.limit(MAX_BROADCAST_KEYS + 1).count()
-    if found == 0:
+    if hot.isEmpty():
         return whole, False
-    if found <= MAX_BROADCAST_KEYS:
+    # Written once, so that both sides of the split agree on which keys are hot.
+    hot = write_and_read(hot, "hot-keys")
+    if hot.count() <= MAX_BROADCAST_KEYS:
         hot = F.broadcast(hot)
     cold = whole.join(hot, matches(whole, hot, keys), "left_anti")
     rows = global_index(df.join(hot, matches(df, hot, keys), "left_semi"), [*keys, *order])
@@ -116,7 +117,7 @@ def value_bins(df: DataFrame, column: str, n_bins: int | None = None, name: str
     if n_bins is None:
         n_bins = min(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_BINS)
     numeric = df.select(F.col(column).cast("double").alias("v"))
-    edges = sorted(set(numeric.approxQuantile("v", [i / n_bins for i in range(1, n_bins)], 0.25 / n_bins)))
+    edges = sorted(set(numeric.approxQuantile("v", [i / n_bins for i in range(1, n_bins)], 0.5 / n_bins)))
     if not edges:
         return df.withColumn(name, F.lit(0))
     splits = [float("-inf"), *edges, float("inf")]
@@ -154,39 +155,49 @@ def select_first(df: DataFrame, take: Callable[[int], int], order: Sequence[tupl
     several times, so anything costly should be written before.
     """
     column, descending = order[0]
-    binned = value_bins(df.select(column), column)
-    # At most one row per bin reaches the driver.
-    sizes = binned.groupBy("_bin").agg(F.count(F.lit(1)).alias("n")).collect()
-    total = sum(row["n"] for row in sizes)
-    n = take(total)
-    if n <= 0:
-        return df.limit(0)
-    if n >= total:
-        return df
-    before = 0
-    for row in sorted(sizes, key=lambda r: r["_bin"], reverse=descending):
-        if before + row["n"] >= n:
-            break
-        before += row["n"]
-    value, upto, ties = _cut_in_bin(binned.filter(F.col("_bin") == row["_bin"]), column, descending, n - before)
+    n, total, cut = _cut(df.select(column), column, descending, take)
+    if cut is None:
+        return df if n >= total else df.limit(0)
+    value, before, ties = cut
     here = F.col(column) == F.lit(value)
     first = F.col(column) > F.lit(value) if descending else F.col(column) < F.lit(value)
-    missing = n - before - (upto - ties)
+    missing = n - before
     if missing == ties or len(order) == 1:
         return df.filter(first | here)
     return df.filter(first).unionByName(select_first(df.filter(here), lambda _: missing, order[1:]))
 
 
-def _cut_in_bin(rows: DataFrame, column: str, descending: bool, n: int) -> tuple[float, int, int]:
-    """(value of the n-th row, rows up to and with that value, rows equal to it).
+def _cut(
+    rows: DataFrame, column: str, descending: bool, take: Callable[[int], int]
+) -> tuple[int, int, tuple[float, int, int] | None]:
+    """(n, number of rows, (value of the n-th row, rows before that value, rows equal to it)).
 
-    One bin holds about total / bins rows; counting leaves one row per value.
+    Counts per bin lead to the one bin that holds the n-th row; a bin still too
+    large for one task is cut into bins again.
     """
+    binned = value_bins(rows, column)
+    # At most one row per bin reaches the driver.
+    sizes = binned.groupBy("_bin").agg(F.count(F.lit(1)).alias("n")).collect()
+    total = sum(row["n"] for row in sizes)
+    n = take(total)
+    if n <= 0 or n >= total:
+        return n, total, None
+    before = 0
+    for row in sorted(sizes, key=lambda r: r["_bin"], reverse=descending):
+        if before + row["n"] >= n:
+            break
+        before += row["n"]
+    here = binned.filter(F.col("_bin") == row["_bin"]).select(column)
+    inside = n - before
+    if len(sizes) > 1 and row["n"] > MAX_GROUP_ROWS and inside < row["n"]:
+        _, _, (value, earlier, ties) = _cut(here, column, descending, lambda _: inside)
+        return n, total, (value, before + earlier, ties)
+    # One row per distinct value is left after counting.
     order = F.col(column).desc() if descending else F.col(column).asc()
     upto = F.sum("n").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    counts = rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).withColumn("upto", upto)
-    hit = counts.filter((F.col("upto") >= n) & (F.col("upto") - F.col("n") < n)).first()
-    return hit[column], hit["upto"], hit["n"]
+    counts = here.groupBy(column).agg(F.count(F.lit(1)).alias("n")).withColumn("upto", upto)
+    hit = counts.filter((F.col("upto") >= inside) & (F.col("upto") - F.col("n") < inside)).first()
+    return n, total, (hit[column], before + hit["upto"] - hit["n"], hit["n"])
 
 
 def first_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str = "_rank") -> DataFrame:

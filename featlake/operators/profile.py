@@ -34,7 +34,7 @@ def dim_expr(df: DataFrame, name: str) -> Column:
     """Aggregate: length of the longest list, at least 1; 1 for a scalar column."""
     if not is_list_column(df, name):
         return F.lit(1)
-    return F.greatest(F.coalesce(F.max(F.size(name)), F.lit(0)), F.lit(1))
+    return F.greatest(F.coalesce(F.max(F.array_size(name)), F.lit(0)), F.lit(1))
 
 
 def feature_columns(df: DataFrame) -> list[tuple[str, str, int, str]]:
@@ -129,7 +129,7 @@ def aligned_pair_audit(df: DataFrame) -> DataFrame:
     pairs = [(fid, a, b) for fid, a, b in lists if b in names]
     aggregates, entries = [F.count(F.lit(1)).alias("n_rows")], []
     for fid, ints, floats in pairs:
-        same = F.size(ints).eqNullSafe(F.size(floats))
+        same = F.array_size(ints).eqNullSafe(F.array_size(floats))
         aggregates.append(F.count_if(~same).alias(f"m{fid}"))
         entries.append(
             F.struct(

@@ -174,7 +174,7 @@ def list_mode(values: Column | str) -> Column:
 
 def sequence_stats(values: str, times: str) -> list[Column]:
     """Count, distinct count, mode and gap statistics of one aligned sequence."""
-    size = F.size(values)
+    size = F.array_size(values)
     gaps = F.zip_with(
         F.slice(times, F.lit(2), F.greatest(size - 1, F.lit(0))),
         F.slice(times, F.lit(1), F.greatest(size - 1, F.lit(0))),
@@ -184,7 +184,7 @@ def sequence_stats(values: str, times: str) -> list[Column]:
     spread = F.element_at(times, -1) - F.element_at(times, 1)
     return [
         size.alias("n"),
-        F.size(F.array_distinct(values)).alias("n_distinct"),
+        F.array_size(F.array_distinct(values)).alias("n_distinct"),
         F.coalesce(list_mode(values), none).alias("mode"),
         F.coalesce(F.array_min(gaps), none).alias("min_gap"),
         F.coalesce(F.array_max(gaps), none).alias("max_gap"),

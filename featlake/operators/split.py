@@ -133,6 +133,6 @@ def window_shuffle(
     )
 
 
-def shuffle_shards(df: DataFrame, shard: str, n_shards: int) -> DataFrame:
-    """Place every shard in its own partition, ready for one reader each."""
-    return df.repartition(n_shards, shard)
+def place_shards(df: DataFrame, shard: str, n_shards: int) -> DataFrame:
+    """Put every shard into the partition of its own number, ready for one reader each."""
+    return df.repartitionById(n_shards, F.col(shard))

@@ -215,7 +215,7 @@ def model_input(spark: SparkSession, sf: str) -> DataFrame:
         t.joined_text(F.col("user_int_feats")).alias("user_int_feats"),
         t.joined_text(F.col("item_int_feats")).alias("item_int_feats"),
         _milli_text("user_dense_feats").alias("user_dense_feats"),
-        F.size("item_dense_feats").alias("item_dense_width"),
+        F.array_size("item_dense_feats").alias("item_dense_width"),
         *_domain_texts(t.CATALOG),
     )
 

@@ -43,7 +43,7 @@ def digest_sql(vec: str) -> str:
 def probes(vec: str, positions: tuple[int, ...]) -> list[Column]:
     """Length and a few values: enough for vectors that are moved as a whole."""
     values = [t.rounded(F.get(vec, F.lit(p))).alias(f"v{p}") for p in positions]
-    return [F.size(vec).alias("width"), *values]
+    return [F.array_size(vec).alias("width"), *values]
 
 
 def probes_sql(vec: str, positions: tuple[int, ...]) -> str:

@@ -114,7 +114,7 @@ def time_bucket_hist_orders(spark: SparkSession, sf: str) -> DataFrame:
 SELECT event_id, {sql.text(f"list_transform(range(0, {MASK_WIDTH}), lambda i: (i >= len(types))::INTEGER)")} AS mask FROM hist_a""",
 )
 def seq_mask(spark: SparkSession, sf: str) -> DataFrame:
-    mask = F.transform(sequence.sequence_mask(F.size("types"), MASK_WIDTH), lambda m: m.cast("int"))
+    mask = F.transform(sequence.sequence_mask(F.array_size("types"), MASK_WIDTH), lambda m: m.cast("int"))
     return t.event_history(spark, sf).select("event_id", t.joined_text(mask).alias("mask"))
 
 
@@ -138,7 +138,7 @@ SELECT event_id,
 FROM hist_a""",
 )
 def seq_latest_k(spark: SparkSession, sf: str) -> DataFrame:
-    size = F.size("ks")
+    size = F.array_size("ks")
     mask = F.transform(sequence.latest_positions(size, K), lambda p: (p < 0).cast("int"))
     return t.event_history(spark, sf).select(
         "event_id",

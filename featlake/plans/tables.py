@@ -50,7 +50,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def epoch_seconds(name: str) -> Column:
-    return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {name})")
+    """Epoch seconds of a zone-less timestamp, whatever the session's time zone is."""
+    day = F.unix_date(F.to_date(name)).cast("bigint") * 86400
+    return day + F.hour(name) * 3600 + F.minute(name) * 60 + F.second(name)
 
 
 def code_of(column: str, values: tuple[str, ...]) -> Column:

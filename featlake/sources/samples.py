@@ -117,7 +117,7 @@ def read_blocks(
 
 
 def _placed(rows: DataFrame, blocks: DataFrame, batch_size: int) -> DataFrame:
-    nth = F.size(F.filter("starts", lambda s: s <= F.col("_row"))) - 1
+    nth = F.array_size(F.filter("starts", lambda s: s <= F.col("_row"))) - 1
     columns = [c for c in rows.columns if c not in ("_file", "_row")]
     return (
         rows.join(blocks, rows["_file"] == blocks["file"])

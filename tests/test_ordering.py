@@ -74,6 +74,13 @@ def test_select_first(skewed, n, descending):
     assert sorted(r["id"] for r in got) == sorted(r["id"] for r in want)
 
 
+def test_select_first_narrows_large_bins(skewed, monkeypatch):
+    monkeypatch.setattr(ordering, "MAX_GROUP_ROWS", 4)
+    want = sorted((r["value"], r["id"]) for r in skewed.select("value", "id").collect())[:333]
+    got = ordering.select_first(skewed, lambda n: 333, [("value", False), ("id", False)]).collect()
+    assert sorted(r["id"] for r in got) == sorted(i for _, i in want)
+
+
 def test_first_k_limits_before_the_shuffle(skewed):
     ranked = ordering.first_k(skewed, ["key"], [F.col("ts").desc(), F.col("id")], 3)
     plan = ranked._jdf.queryExecution().executedPlan().toString()

@@ -58,6 +58,13 @@ def test_shards(spark):
     assert {r["block"]: r["shard"] for r in got} == {0: 0, 7: 1, 14: 2, 21: 3, 28: 0, 35: 1}
 
 
+def test_each_shard_gets_its_partition(spark):
+    sharded = split.shard_blocks(blocked(spark), "block", "id", 4)
+    placed = split.place_shards(sharded, "shard", 4)
+    assert placed.rdd.getNumPartitions() == 4
+    assert placed.filter(F.col("shard") != F.spark_partition_id()).count() == 0
+
+
 @pytest.mark.parametrize("buffer", [1, 3])
 def test_window_shuffle(spark, buffer):
     df = blocked(spark, 53, 10)
