@@ -28,6 +28,7 @@ from featlake.operators.ordering import (
     select_first,
     value_bins,
 )
+from featlake.session import write_and_read
 
 
 def reduced(df: DataFrame, loss: Column, reduction: str, name: str) -> DataFrame:
@@ -42,10 +43,19 @@ def reduced(df: DataFrame, loss: Column, reduction: str, name: str) -> DataFrame
 def auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """Exact area under the ROC curve, ties counting half; NaN scores are dropped.
 
-    0.0 when empty or when only one class is left. Rows are first counted per
-    distinct score, so a score shared by very many rows becomes one row before
-    the sort. Scores are then ranked inside quantile bins, and a table of one
-    row per (group, bin) carries the negatives of the lower bins.
+    0.0 when empty or when only one class is left.
+    """
+    return _ranked(df, score, label, by, {}).select(*by, "auc")
+
+
+def _ranked(df: DataFrame, score: str, label: str, by: Sequence[str], sums: dict[str, Column]) -> DataFrame:
+    """AUC, and sums of further row values taken along in the same pass.
+
+    Rows are first counted per distinct score, so a score shared by very many
+    rows becomes one row before the sort. Scores are then ranked inside quantile
+    bins, and a table of one row per (group, bin) carries the negatives of the
+    lower bins. The quantiles are a pass of their own: write ``df`` before if it
+    is costly to compute.
     """
     kept = not_nan(score)
     # A NaN row keeps its group alive with no weight.
@@ -55,25 +65,27 @@ def auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFr
         value.alias("_score"),
         F.when(kept, F.col(label)).otherwise(0).cast("bigint").alias("_pos"),
         F.when(kept, 1 - F.col(label)).otherwise(0).cast("bigint").alias("_neg"),
+        *[c.alias(name) for name, c in sums.items()],
     )
-    binned = value_bins(weighted, "_score")
-    counts = binned.groupBy(*by, "_bin", "_score").agg(F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"))
+    added = [F.sum(name).alias(name) for name in ["_pos", "_neg", *sums]]
+    counts = value_bins(weighted, "_score").groupBy(*by, "_bin", "_score").agg(*added)
     lower = Window.partitionBy(*by, "_bin").orderBy("_score").rowsBetween(Window.unboundedPreceding, -1)
     below = F.coalesce(F.sum("_neg").over(lower), F.lit(0))
     per_bin = (
         counts.withColumn("_won", F.col("_pos") * (below + F.col("_neg") / 2.0))
         .groupBy(*by, "_bin")
-        .agg(F.sum("_won").alias("_won"), F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"))
+        .agg(F.sum("_won").alias("_won"), *added)
     )
     earlier = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("_neg").over(earlier), F.lit(0)).cast("double")
     total = (
         per_bin.withColumn("_won", F.col("_won") + F.col("_pos") * before)
         .groupBy(*by)
-        .agg(F.sum("_won").alias("_won"), F.sum("_pos").cast("double").alias("_p"), F.sum("_neg").cast("double").alias("_n"))
+        .agg(F.sum("_won").alias("_won"), *added)
     )
-    pairs = F.col("_p") * F.col("_n")
-    return total.select(*by, F.when(pairs > 0, F.col("_won") / pairs).otherwise(F.lit(0.0)).alias("auc"))
+    pairs = F.col("_pos").cast("double") * F.col("_neg")
+    area = F.when(pairs > 0, F.col("_won") / pairs).otherwise(F.lit(0.0))
+    return total.select(*by, area.alias("auc"), *sums)
 
 
 def logloss(df: DataFrame, logit: str, label: str, by: Sequence[str] = ()) -> DataFrame:
@@ -84,16 +96,21 @@ def logloss(df: DataFrame, logit: str, label: str, by: Sequence[str] = ()) -> Da
 
 def evaluate(df: DataFrame, logit: str, label: str) -> DataFrame:
     """One row with AUC and logloss of a validation set; both 0.0 when it is empty."""
-    rows = df.agg(F.count(F.lit(1)).alias("n_rows"))
-    one = F.lit(1)
-    area = auc(df.select(sigmoid(logit).alias("_p"), label), "_p", label)
-    joined = (
-        rows.withColumn("_one", one)
-        .join(area.withColumn("_one", one), "_one")
-        .join(logloss(df, logit, label).withColumn("_one", one), "_one")
+    kept = not_nan(logit)
+    sums = {
+        "_rows": F.lit(1),
+        "_kept": F.when(kept, 1).otherwise(0),
+        "_loss": F.when(kept, bce(logit, label)).otherwise(F.lit(0.0)),
+    }
+    scored = df.select("*", sigmoid(logit).alias("_prob"), *[c.alias(n) for n, c in sums.items()])
+    row = _ranked(scored, "_prob", label, (), {n: F.col(n) for n in sums})
+    n_rows = F.coalesce("_rows", F.lit(0))
+    loss = (
+        F.when(n_rows == 0, F.lit(0.0))
+        .when(F.col("_kept") == 0, F.lit(float("inf")))
+        .otherwise(F.col("_loss") / F.col("_kept"))
     )
-    loss = F.when(F.col("n_rows") == 0, F.lit(0.0)).otherwise(F.col("logloss"))
-    return joined.select("n_rows", "auc", loss.alias("logloss"))
+    return row.select(n_rows.alias("n_rows"), "auc", loss.alias("logloss"))
 
 
 def nan_audit(df: DataFrame, score: str, by: Sequence[str] = ()) -> DataFrame:
@@ -183,9 +200,10 @@ def best_checkpoint(history: DataFrame, run: str, step: str, score: str, extra:
 def leaderboard(history: DataFrame, run: str, score: str) -> DataFrame:
     """Runs ranked by their best score; equal scores share a rank.
 
-    Ranks come from counts per distinct score, so no task sorts all runs.
+    Ranks come from counts per distinct score, so no task sorts all runs. The
+    best scores, one row per run, are written once and looked at several times.
     """
-    best = history.groupBy(run).agg(F.max(score).alias("best_score"))
+    best = write_and_read(history.groupBy(run).agg(F.max(score).alias("best_score")), "best-scores")
     counts = best.groupBy("best_score").agg(F.count(F.lit(1)).alias("_n")).withColumn("_order", -F.col("best_score"))
     ranks = running_totals(counts, "_order", {"_ahead": F.col("_n")}).select("best_score", "_ahead")
     return best.join(ranks, "best_score").select(run, "best_score", (F.col("_ahead") + 1).alias("place"))

@@ -6,13 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from featlake.operators.ordering import running_totals
+from featlake.session import write_and_read
 
 
 def block_inventory(df: DataFrame, block: str, key: str, batch_size: int = 256) -> DataFrame:
-    """One row per block: dense index, size, key range, rows and batches before it."""
-    blocks = df.groupBy(block).agg(
+    """One row per block: dense index, size, key range, rows and batches before it.
+
+    The blocks are counted in one pass and written: numbering them takes several
+    looks at this small table, and none of them should scan the rows again.
+    """
+    counted = df.groupBy(block).agg(
         F.count(F.lit(1)).alias("n_rows"), F.min(key).alias("first_key"), F.max(key).alias("last_key")
     )
+    blocks = write_and_read(counted, "blocks")
     batches = F.ceil(F.col("n_rows") / batch_size)
     return running_totals(
         blocks,
@@ -69,10 +75,11 @@ def split_blocks(
     """
     if valid_from not in ("tail", "after_train"):
         raise ValueError("valid_from must be 'tail' or 'after_train'")
-    n_blocks = df.select(block).distinct().count()
+    blocks = block_inventory(df, block, key)
+    n_blocks = blocks.count()
     n_train, n_valid = split_sizes(n_blocks, valid_ratio, train_ratio)
     valid_start = n_blocks - n_valid if valid_from == "tail" else n_train
-    bounds = block_bounds(block_inventory(df, block, key), block, {0, n_train, valid_start})
+    bounds = block_bounds(blocks, block, {0, n_train, valid_start})
     return (
         block_range(df, block, 0, n_train, bounds),
         block_range(df, block, valid_start, n_blocks, bounds),
