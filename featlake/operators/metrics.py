@@ -24,6 +24,7 @@ from featlake.operators.ordering import (
     CHUNK,
     MAX_GROUP_ROWS,
     bounded_groups,
+    carry_over,
     running_totals,
     select_first,
     value_bins,
@@ -231,7 +232,7 @@ def early_stop(
     record = F.when(F.col("_record"), F.struct("_pos", F.col(score).alias("score"), F.col(step).alias("step")))
     last = seen.withColumn("_rec", record).withColumn("_last", F.max("_rec").over(here))
     if split:
-        last = _carry(last, run, {"_rec": "_last_before"}).withColumn("_last", F.coalesce("_last", "_last_before"))
+        last = carry_over(last, [run], {"_rec": "_last_before"}).withColumn("_last", F.coalesce("_last", "_last_before"))
     stopped = F.col("_pos") - F.col("_last._pos") >= patience
     ends = last.groupBy(run).agg(
         F.min_by(
@@ -260,7 +261,7 @@ def _records(history: DataFrame, run: str, step: str, score: str, max_rows: int)
     )
     if split:
         rows = rows.withColumn("_one", F.lit(1).cast("bigint"))
-        rows = _carry(rows, run, {score: "_top_before"}, {"_one": "_rows_before"})
+        rows = carry_over(rows, [run], {score: "_top_before"}, {"_one": "_rows_before"})
         rows = rows.withColumn("_top", F.greatest("_top", "_top_before")).withColumn(
             "_pos", F.col("_pos") + F.coalesce("_rows_before", F.lit(0))
         )
@@ -268,26 +269,6 @@ def _records(history: DataFrame, run: str, step: str, score: str, max_rows: int)
     return rows.withColumn("_record", record).select(run, step, score, CHUNK, "_pos", "_record"), split
 
 
-def _carry(df: DataFrame, run: str, maxima: dict[str, str], sums: dict[str, str] | None = None) -> DataFrame:
-    """Add maxima and sums over all earlier chunks of a run, from one row per chunk."""
-    sums = sums or {}
-    per_chunk = df.groupBy(run, CHUNK).agg(
-        *[F.max(c).alias(name) for c, name in maxima.items()], *[F.sum(c).alias(name) for c, name in sums.items()]
-    )
-    earlier = Window.partitionBy(run).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    before = per_chunk.select(
-        run,
-        CHUNK,
-        *[F.max(name).over(earlier).alias(name) for name in maxima.values()],
-        *[F.sum(name).over(earlier).alias(name) for name in sums.values()],
-    )
-    carried = before.select(
-        F.col(run).alias("_run"), F.col(CHUNK).alias("_c"), *[n for n in [*maxima.values(), *sums.values()]]
-    )
-    on = df[run].eqNullSafe(carried["_run"]) & (df[CHUNK] == carried["_c"])
-    return df.join(carried, on, "left").drop("_run", "_c")
-
-
 def _stop_with_delta(seen: DataFrame, run: str, step: str, score: str, patience: int, delta: float) -> DataFrame:
     """Early stop with a minimum improvement.
 

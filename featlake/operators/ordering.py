@@ -107,6 +107,43 @@ def bounded_groups(
     return cold.unionByName(split), True
 
 
+def carry_over(
+    df: DataFrame, keys: Sequence[str], maxima: dict[str, str], sums: dict[str, str] | None = None
+) -> DataFrame:
+    """Add maxima and sums over all earlier chunks of a split key, from one row per chunk.
+
+    ``maxima`` and ``sums`` map columns to the names of their totals; a key's
+    first chunk gets nulls.
+    """
+    sums = sums or {}
+    names = [*maxima.values(), *sums.values()]
+    per_chunk = df.groupBy(*keys, CHUNK).agg(
+        *[F.max(c).alias(name) for c, name in maxima.items()], *[F.sum(c).alias(name) for c, name in sums.items()]
+    )
+    earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    renamed = {k: f"_carried_{k}" for k in [*keys, CHUNK]}
+    carried = per_chunk.select(
+        *[F.col(k).alias(r) for k, r in renamed.items()],
+        *[F.max(name).over(earlier).alias(name) for name in maxima.values()],
+        *[F.sum(name).over(earlier).alias(name) for name in sums.values()],
+    )
+    on = reduce(lambda a, b: a & b, [df[k].eqNullSafe(carried[r]) for k, r in renamed.items()])
+    return df.join(carried, on, "left").select(*df.columns, *names)
+
+
+def numbered(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, max_rows: int = MAX_GROUP_ROWS
+) -> DataFrame:
+    """Add each row's position in its key, from 0; hot keys are numbered chunk by chunk."""
+    rows, split = bounded_groups(df, keys, order, 0, max_rows)
+    window = Window.partitionBy(*keys, CHUNK).orderBy(*order)
+    rows = rows.withColumn(name, F.row_number().over(window).cast("bigint") - 1)
+    if split:
+        rows = carry_over(rows.withColumn("_one", F.lit(1).cast("bigint")), keys, {}, {"_one": "_before"})
+        rows = rows.withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0)))
+    return rows.select(*df.columns, name)
+
+
 def value_bins(df: DataFrame, column: str, n_bins: int | None = None, name: str = "_bin") -> DataFrame:
     """Cut a numeric column into ranges that hold about equally many rows.
 

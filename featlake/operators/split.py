@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from featlake.operators.ordering import running_totals
+from featlake.operators.ordering import MAX_GROUP_ROWS, numbered, running_totals
 from featlake.session import write_and_read
 
 
@@ -94,13 +94,12 @@ def shard_blocks(df: DataFrame, block: str, key: str, n_shards: int) -> DataFram
     return df.join(blocks, block)
 
 
-def assign_batches(df: DataFrame, block: str, key: str, batch_size: int = 256) -> DataFrame:
-    """Add the batch number inside the block; a batch never spans blocks.
-
-    A block is a writer-bounded run of rows, so its window group is bounded too.
-    """
-    place = F.row_number().over(Window.partitionBy(block).orderBy(key)) - 1
-    return df.withColumn("batch", F.floor(place / batch_size).cast("int"))
+def assign_batches(
+    df: DataFrame, block: str, key: str, batch_size: int = 256, max_rows: int = MAX_GROUP_ROWS
+) -> DataFrame:
+    """Add the batch number inside the block; a batch never spans blocks."""
+    placed = numbered(df, [block], [key], "_place", max_rows)
+    return placed.withColumn("batch", F.floor(F.col("_place") / batch_size).cast("int")).drop("_place")
 
 
 def batch_count(df: DataFrame, block: str, batch_size: int = 256) -> DataFrame:

@@ -41,6 +41,15 @@ def test_bounded_groups_give_the_plain_window(skewed, max_rows):
         assert biggest <= max_rows + n
 
 
+@pytest.mark.parametrize("max_rows", [7, 60, 10_000])
+def test_numbered(skewed, max_rows):
+    got = {r["id"]: r["n"] for r in ordering.numbered(skewed, ["key"], ["ts", "id"], "n", max_rows).collect()}
+    seen = {}
+    for r in sorted(skewed.collect(), key=lambda r: (r["ts"], r["id"])):
+        assert got[r["id"]] == seen.get(r["key"], 0)
+        seen[r["key"]] = seen.get(r["key"], 0) + 1
+
+
 def test_overlap_must_fit(skewed):
     with pytest.raises(ValueError):
         ordering.bounded_groups(skewed, ["key"], ["ts"], 10, 10)

@@ -46,9 +46,11 @@ def test_split_filters_at_the_scan(spark, tmp_path):
     assert "LessThan(block," in plan and "Join" not in plan
 
 
-def test_batches(spark):
+@pytest.mark.parametrize("max_rows", [3, 1000])
+def test_batches(spark, max_rows):
     df = blocked(spark, 23, 10)
-    sizes = {(r["block"], r["batch"]): r["count"] for r in split.assign_batches(df, "block", "id", 4).groupBy("block", "batch").count().collect()}
+    batched = split.assign_batches(df, "block", "id", 4, max_rows)
+    sizes = {(r["block"], r["batch"]): r["count"] for r in batched.groupBy("block", "batch").count().collect()}
     assert sizes == {(b, i): n for b, last in ((0, 10), (7, 10), (14, 3)) for i, n in enumerate([4, 4, 2] if last == 10 else [3])}
     assert split.batch_count(df, "block", 4).first()["n_batches"] == len(sizes) == 7
 
