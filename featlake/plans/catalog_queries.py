@@ -19,7 +19,7 @@ GROUPS_DOCUMENT = (
     '"item_ns_groups": {"I1": [11, 5]}}'
 )
 
-# (group, domain, fid, column, is list, has vocab, has dim, is time), in layout order
+# (group, domain, fid, column, is list), in layout order
 _COLUMNS = [
     ("user_int", "", 1, "user_int_feats_1", False),
     ("user_int", "", 3, "user_int_feats_3", False),
@@ -166,7 +166,7 @@ SELECT * FROM (
 WHERE max_value BETWEEN {profile.EPOCH_SECONDS_RANGE[0]} AND {profile.EPOCH_SECONDS_RANGE[1]}""",
 )
 def time_columns(spark: SparkSession, sf: str) -> DataFrame:
-    # Order dates lie before the range in part, but the latest do not.
+    # Order dates all lie before the range, so only the event times are found.
     return profile.detect_time_columns(t.wide_samples(spark, sf))
 
 

@@ -89,20 +89,20 @@ def time_bucket(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _hist_sql(cte: str, name: str, key: str) -> str:
+def _hist_sql(cte: str, name: str) -> str:
     return (
         f"WITH {cte}, long AS (SELECT timestamp, unnest(times) AS t FROM {name}) "
         f"SELECT {sql.bucket('timestamp', 't')}::INTEGER AS bucket, count(*) AS n FROM long GROUP BY 1"
     )
 
 
-@query("time_bucket_hist", _hist_sql(sql.EVENT_HISTORY, "hist_a", "event_id"))
+@query("time_bucket_hist", _hist_sql(sql.EVENT_HISTORY, "hist_a"))
 def time_bucket_hist(spark: SparkSession, sf: str) -> DataFrame:
     long = t.event_history(spark, sf).select("timestamp", F.explode("times").alias("t"))
     return long.groupBy(event_bucket("timestamp", "t").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("time_bucket_hist_orders", _hist_sql(sql.ORDER_HISTORY_CTE, "hist_b", "o_orderkey"))
+@query("time_bucket_hist_orders", _hist_sql(sql.ORDER_HISTORY_CTE, "hist_b"))
 def time_bucket_hist_orders(spark: SparkSession, sf: str) -> DataFrame:
     long = t.order_history(spark, sf).select("timestamp", F.explode("times").alias("t"))
     return long.groupBy(event_bucket("timestamp", "t").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
