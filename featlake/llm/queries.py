@@ -21,7 +21,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.write_archives(warc.captures(table(spark, sf_dir, "pages")))
     found = warc.assemble(warc.with_payloads(warc.read_records(spark, folder)))
-    metadata = F.decode("metadata.block", F.lit("UTF-8"))
+    metadata = F.decode("metadata.block", "UTF-8")
     field = lambda name: F.regexp_extract(metadata, rf"(?m)^{name}: (\d+)", 1).try_cast("bigint")
     return found.select(
         field("pageId").alias("page_id"),

@@ -183,7 +183,7 @@ def assemble(found: DataFrame) -> DataFrame:
     archives repeat a record.
     """
     key = F.coalesce("concurrent_to", "record_id")
-    whole = F.struct("record_type", *[n for n in NAMES if n != "record_type"])
+    whole = F.struct("record_type", *[n for n in found.columns if n != "record_type"])
     of = lambda *kinds: F.max(F.when(F.col("record_type").isin(*kinds), whole))
     return found.groupBy(key.alias("capture_id")).agg(
         of("request").alias("request"), of("response", "revisit").alias("response"), of("metadata").alias("metadata")
