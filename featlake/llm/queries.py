@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featlake.llm import language, packing, token_output, toxicity, warc
+from featlake.llm import language, near_dedup, packing, substring_dedup, token_output, toxicity, warc
 from featlake.llm.common import held_out, table
 from featlake.llm.tokens import tokenizer_path
 
@@ -36,6 +36,11 @@ def op6_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the packed matrices, read them back, and digest each row."""
     rows = token_output.packed_rows(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -46,6 +51,10 @@ def op8_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.predict(docs, language.fit(docs))
@@ -56,7 +65,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op5_warc": op5_warc,
     "op6_best_two_fit": op6_best_two_fit,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_token_matrices": op8_token_matrices,
+    "op9_near_dedup": op9_near_dedup,
     "op10_language": op10_language,
 }
 
