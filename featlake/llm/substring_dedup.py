@@ -15,35 +15,41 @@ than they have bits, they let more through, and the results stay the same.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featlake.llm.common import MIX_1, Words, bitmap_of, by_arrow, chained, in_bitmap, mixed
+from featlake.llm.common import Words, bitmap_of, by_arrow, in_bitmap, rolled
 from featlake.session import write_and_read
 
-BITS = 1 << 27
+BITS, ID_BITS = 1 << 27, 1 << 26
 PASSAGE = "anchor bigint, passage_key binary, passage binary, doc_id bigint, doc_key bigint, start bigint"
 SHARD_PASSAGES = 4_000
 
+#: Windows in a passage at most; a longer run is cut.
+RUN = 32
+
 
 def split(text: str | None) -> list[bytes]:
     """Words between ASCII white space, unchanged; none for null."""
     return (text or "").encode().split()
 
 
-def anchors(hashes: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """The gram hashes of a document, and the anchor's place for each window start."""
-    half = span // 2
+def anchors(hashes: np.ndarray, span: int) -> np.ndarray:
+    """The anchor of each window: the smallest hash of its grams of ``span // 2`` words."""
     if len(hashes) < span:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    grams = chained(hashes, half)
-    width = span - half + 1
-    return grams, np.lib.stride_tricks.sliding_window_view(grams, width).argmin(1) + np.arange(len(hashes) - span + 1)
+        return np.zeros(0, np.uint64)
+    least, width, wanted = rolled(hashes, span // 2), 1, span - span // 2 + 1
+    while width < wanted:
+        ahead = min(width, wanted - width)
+        least, width = np.minimum(least[:-ahead], least[ahead:]), width + ahead
+    return least
 
 
 def slots(hashes: np.ndarray) -> np.ndarray:
@@ -67,17 +73,13 @@ def passages(docs: DataFrame, span: int) -> DataFrame:
     send = docs.sparkSession.sparkContext.broadcast
 
     def of_anchors(h: np.ndarray) -> np.ndarray:
-        grams, at = anchors(h, span)
-        return grams[at[np.flatnonzero(np.diff(at, prepend=-1))]] if len(at) else grams
+        found = anchors(h, span)
+        return found[np.diff(found, prepend=~found[:1]) != 0]
 
     again = send(_recurring(docs, of_anchors))
 
     def of_windows(h: np.ndarray) -> np.ndarray:
-        grams, at = anchors(h, span)
-        if not len(at):
-            return grams
-        inside = in_bitmap(again.value, slots(grams[at]))
-        return chained_at(h, np.flatnonzero(inside), span)
+        return rolled(h, span)[in_bitmap(again.value, slots(anchors(h, span)))]
 
     twice = send(_recurring(docs, of_windows))
     words = Words()
@@ -87,15 +89,17 @@ def passages(docs: DataFrame, span: int) -> DataFrame:
         for doc_id, text, key in zip(*(c.to_pylist() for c in batch.columns)):
             split_ = split(text)
             h = words.of(split_)
-            grams, at = anchors(h, span)
-            starts = np.flatnonzero(in_bitmap(again.value, slots(grams[at]))) if len(at) else at
-            starts = starts[in_bitmap(twice.value, slots(chained_at(h, starts, span)))]
+            found = anchors(h, span)
+            starts = np.flatnonzero(in_bitmap(again.value, slots(found)))
+            starts = starts[in_bitmap(twice.value, slots(rolled(h, span)[starts]))]
             if not len(starts):
                 continue
-            new = (np.diff(starts, prepend=-2) != 1) | (np.diff(at[starts], prepend=-1) != 0)
+            here = found[starts]
+            new = (np.diff(starts, prepend=-2) != 1) | (np.diff(here, prepend=~here[:1]) != 0)
+            new |= (np.arange(len(starts)) - np.maximum.accumulate(np.where(new, np.arange(len(starts)), 0))) % RUN == 0
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(starts)) - 1
-            anchor = grams[at[starts[first]]].view(np.int64).tolist()
+            anchor = here[first].view(np.int64).tolist()
             for a, s, e in zip(anchor, starts[first].tolist(), starts[last].tolist()):
                 passage = b" ".join(split_[s : e + span])
                 out.append((a, xxhash.xxh3_128_digest(passage), passage, doc_id, key, s))
@@ -111,19 +115,23 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(doc_id.alias("doc_id"), "text", F.xxhash64(doc_id, "text").alias("doc_key"))
 
 
-def chained_at(hashes: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
-    """Hashes of the windows at the given starts only."""
-    out = hashes[starts].copy()
-    for k in range(1, span):
-        out = mixed(out * MIX_1 + hashes[starts + k])
-    return out
-
-
 def _located(shard: list[tuple], span: int) -> Iterator[tuple]:
     """For each passage: bits of the window offsets that repeat something earlier, in the
     passage's first occurrence and in all its other ones."""
     import ahocorasick
 
+    groups = Counter(row[0] for row in shard)
+    together = []
+    for row in shard:
+        anchor, key, passage, doc, start, count = row
+        words = passage.split(b" ")
+        windows = len(words) - span + 1
+        alone = groups[anchor] == 1 and count > 1
+        if alone and len({tuple(words[i : i + span]) for i in range(windows)}) == windows:
+            yield anchor, key, doc, start, 0, (1 << windows) - 1  # its windows occur nowhere else
+        else:
+            together.append(row)
+    shard = together
     ids: dict[bytes, int] = {}
     number = lambda w: ids.setdefault(w, len(ids))
     read = [tuple(map(number, row[2].split(b" "))) for row in shard]
@@ -206,8 +214,23 @@ def deduplicated(docs: DataFrame, span: int = 20) -> DataFrame:
     doc_id = F.col("doc_id").cast("bigint")
     rows = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, "text").alias("_key"), *(F.col(f"`{c}`") for c in others))
     gone = removals(docs, span).select(F.col("doc_id").alias("_id"), F.col("doc_key").alias("_doc_key"), F.col("windows").alias("_windows"))
-    joined = rows.join(gone, rows._key.eqNullSafe(gone._doc_key) & rows.doc_id.eqNullSafe(gone._id), "left")
-    given = joined.select("doc_id", *(F.col(f"`{c}`") for c in others), "_windows")
+    gone = write_and_read(gone, "removals")
+    slot = lambda name: F.col(name).bitwiseAND(ID_BITS - 1)
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap_of(gone, slot("_doc_key"), ID_BITS))
+
+    def touched(keys: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for key in keys:
+            yield pd.Series(in_bitmap(sent.value, key.to_numpy() & (ID_BITS - 1)))
+
+    # texts that lose nothing stay where they are; the others meet their windows by a shuffle
+    touched = F.pandas_udf(touched, "boolean")
+    flagged = rows.withColumn("_touched", touched("_key"))
+    hit = flagged.where("_touched")
+    joined = hit.join(gone, hit._key.eqNullSafe(gone._doc_key) & hit.doc_id.eqNullSafe(gone._id), "left")
+    columns = ["doc_id", *(F.col(f"`{c}`") for c in others)]
+    given = joined.select(*columns, "_windows").unionByName(
+        flagged.where("not _touched").select(*columns, F.lit(None).cast(gone.schema["_windows"].dataType).alias("_windows"))
+    )
     text = given.columns.index("text")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
