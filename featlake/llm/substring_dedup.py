@@ -41,15 +41,30 @@ def split(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
+def _sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
+    """``pick`` over each ``width`` consecutive values, in steps that double."""
+    out, done = values, 1
+    while done < width:
+        ahead = min(done, width - done)
+        out, done = pick(out[:-ahead], out[ahead:]), done + ahead
+    return out
+
+
 def anchors(hashes: np.ndarray, span: int) -> np.ndarray:
     """The anchor of each window: the smallest hash of its grams of ``span // 2`` words."""
     if len(hashes) < span:
         return np.zeros(0, np.uint64)
-    least, width, wanted = rolled(hashes, span // 2), 1, span - span // 2 + 1
-    while width < wanted:
-        ahead = min(width, wanted - width)
-        least, width = np.minimum(least[:-ahead], least[ahead:]), width + ahead
-    return least
+    return _sliding(rolled(hashes, span // 2), span - span // 2 + 1, np.minimum)
+
+
+def anchor_places(hashes: np.ndarray, span: int) -> np.ndarray:
+    """The hash at each place that is the anchor of a window over it, once per place."""
+    found, width = anchors(hashes, span), span - span // 2 + 1
+    if not len(found):
+        return found
+    edge = np.zeros(width - 1, np.uint64)
+    grams = rolled(hashes, span // 2)
+    return grams[grams == _sliding(np.concatenate([edge, found, edge]), width, np.maximum)]
 
 
 def slots(hashes: np.ndarray) -> np.ndarray:
@@ -72,11 +87,7 @@ def passages(docs: DataFrame, span: int) -> DataFrame:
     """Runs of windows that may recur, one row per anchor occurrence, with the words they span."""
     send = docs.sparkSession.sparkContext.broadcast
 
-    def of_anchors(h: np.ndarray) -> np.ndarray:
-        found = anchors(h, span)
-        return found[np.diff(found, prepend=~found[:1]) != 0]
-
-    again = send(_recurring(docs, of_anchors))
+    again = send(_recurring(docs, lambda h: anchor_places(h, span)))
 
     def of_windows(h: np.ndarray) -> np.ndarray:
         return rolled(h, span)[in_bitmap(again.value, slots(anchors(h, span)))]
