@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from featlake.llm.common import by_arrow, held_out
 
@@ -155,8 +156,8 @@ def fit(docs: DataFrame, per_language: int = 64, reference_chars: int = 8192) ->
     return out
 
 
-def predict(docs: DataFrame, references: dict[str, str]) -> DataFrame:
-    """``doc_id``, ``lang_pred`` and ``score`` of every row by its text alone.
+def predict(docs: DataFrame, references: dict[str, str], carried: list[str] | None = None) -> DataFrame:
+    """``carried`` (default: doc_id), ``lang_pred`` and ``score`` of every row by its text alone.
 
     ``und`` and 0 for a text that is null or has no letter, and where no language was
     learned. Ties go to the language first in order. The score is one minus the ratio
@@ -164,12 +165,14 @@ def predict(docs: DataFrame, references: dict[str, str]) -> DataFrame:
     """
     sent = docs.sparkSession.sparkContext.broadcast(references)
     parsers: list[Parser] = []
+    carried = carried or ["doc_id"]
+    given = docs.select("text", *(F.col(f"`{c}`") for c in carried))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not parsers:
             parsers.append(Parser(sent.value))
         parser = parsers[0]
-        texts = batch.column(1).to_pylist()
+        texts = batch.column(0).to_pylist()
         names = np.array([*parser.languages, UNDETERMINED], object)
         best, score = np.full(len(texts), len(names) - 1), np.zeros(len(texts))
         if parser.languages:
@@ -178,7 +181,8 @@ def predict(docs: DataFrame, references: dict[str, str]) -> DataFrame:
             sure = 1 - ranked[0] / ranked[1] if len(ranked) > 1 else np.ones(len(texts))
             best = np.where(has, np.argmin(counts, axis=0), best)
             score = np.where(has, sure, 0.0)
-        columns = [batch.column(0), pa.array(names[best], pa.string()), pa.array(score, pa.float64())]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score"])
+        columns = [*batch.columns[1:], pa.array(names[best], pa.string()), pa.array(score, pa.float64())]
+        return pa.RecordBatch.from_arrays(columns, [*carried, "lang_pred", "score"])
 
-    return by_arrow(docs.select("doc_id", "text"), "doc_id bigint, lang_pred string, score double", step)
+    schema = StructType([*(docs.schema[c] for c in carried), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return by_arrow(given, schema, step)

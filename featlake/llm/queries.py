@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featlake.llm import decontaminate, html_text, language, near_dedup, packing, substring_dedup, token_output, toxicity, warc
+from featlake.llm import decontaminate, html_text, language, near_dedup, neighbours, packing, substring_dedup, token_output, toxicity, warc
 from featlake.llm.common import held_out, table
 from featlake.llm.tokens import tokenizer_path
 
@@ -27,6 +27,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.write_archives(warc.captures(table(spark, sf_dir, "pages")))
     found = warc.assemble(warc.with_payloads(warc.read_records(spark, folder)))
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_html_text": op2_html_text,
     "op3_decontaminate": op3_decontaminate,
+    "op4_neighbours": op4_neighbours,
     "op5_warc": op5_warc,
     "op6_best_two_fit": op6_best_two_fit,
     "op7_substring_dedup": op7_substring_dedup,
