@@ -24,6 +24,9 @@ from featlake.session import write_and_read
 
 EDGES = "a bigint, b bigint, score float"
 
+#: Vectors up to this size in all are sent to the tasks; larger tables meet by a shuffle.
+BROADCAST_BYTES = 32 << 20
+
 
 def nodes(vectors: DataFrame, k: int) -> DataFrame:
     """node, vec (float32 bytes) and ids (the k + 1 smallest) for each distinct vector that takes part.
@@ -113,13 +116,19 @@ def _halved(table: DataFrame) -> DataFrame:
     return write_and_read(by_arrow(table.select("node", "vec"), "node bigint, half binary", step), "halves")
 
 
+def _small(table: DataFrame, column: str) -> bool:
+    """Whether all values of a binary column fit into BROADCAST_BYTES, counted now."""
+    size = table.agg(F.sum(F.octet_length(column) + 64)).first()[0]
+    return (size or 0) <= BROADCAST_BYTES
+
+
 def _best(edges: DataFrame, degree: int) -> DataFrame:
     order = Window.partitionBy("a").orderBy(F.desc("score"), "b")
     once = edges.groupBy("a", "b").agg(F.max("score").alias("score"))
     return once.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= degree).drop("_at")
 
 
-def graph(table: DataFrame, degree: int = 24, rounds: int = 4, trees: int = 4, block: int = 128, seed: int = 11) -> DataFrame:
+def graph(table: DataFrame, degree: int = 40, rounds: int = 5, trees: int = 8, block: int = 256, seed: int = 11) -> DataFrame:
     """Directed edges (a, b, score): about the ``degree`` nearest of each node.
 
     A node is introduced to its neighbours and to up to ``degree`` nodes, chosen by a
@@ -129,7 +138,7 @@ def graph(table: DataFrame, degree: int = 24, rounds: int = 4, trees: int = 4, b
     count, first = halves.count(), halves.first()
     if first is None:
         return table.sparkSession.createDataFrame([], EDGES)
-    width = len(first["half"]) // 2
+    width, small = len(first["half"]) // 2, _small(halves, "half")
     bits = max(0, int(np.ceil(np.log2(max(1, count / block)))))
     planes = np.random.default_rng(seed).normal(size=(trees, width, bits)).astype(np.float32)
 
@@ -144,22 +153,26 @@ def graph(table: DataFrame, degree: int = 24, rounds: int = 4, trees: int = 4, b
     blocks = by_arrow(halves, "grp bigint, node bigint, half binary", dealt).withColumn("least", F.lit(-np.inf).cast("float"))
     salt = F.pmod(F.xxhash64("node"), F.lit(16))  # a dense block goes to several tasks
     spread = blocks.repartition("grp", salt).sortWithinPartitions("grp", salt, "node")
-    edges = write_and_read(_best(spread.mapInArrow(_introduce(width, 4 * block, degree), EDGES), degree), "edges")
+    edges = write_and_read(_best(spread.mapInArrow(_introduce(width, 4 * block, 12), EDGES), degree), "edges")
     for _ in range(rounds):
         back = Window.partitionBy("b").orderBy(F.xxhash64("a", "b"))
         reverse = edges.withColumn("_at", F.row_number().over(back)).where(F.col("_at") <= degree).select(F.col("b").alias("grp"), F.col("a").alias("node"))
         around = edges.select(F.col("a").alias("grp"), F.col("b").alias("node")).unionByName(reverse).unionByName(halves.select(F.col("node").alias("grp"), "node"))
         worst = edges.groupBy(F.col("a").alias("node")).agg(F.when(F.count("*") >= degree, F.min("score")).alias("least"))
         known = halves.join(worst, "node", "left").select("node", "half", F.coalesce("least", F.lit(-np.inf).cast("float")).alias("least"))
-        met = around.distinct().join(known, "node").select("grp", "node", "half", "least")
-        new = met.repartition("grp").sortWithinPartitions("grp").mapInArrow(_introduce(width, 4 * degree, 6), EDGES)
+        pairs = around.distinct()
+        met = pairs.repartition("grp").join(F.broadcast(known), "node") if small else pairs.join(known, "node").repartition("grp")
+        met = met.select("grp", "node", "half", "least").sortWithinPartitions("grp")
+        new = met.mapInArrow(_introduce(width, 4 * degree, 6), EDGES)
         edges = write_and_read(_best(edges.unionByName(new), degree), "edges")
     return edges
 
 
-def _scored(pairs: DataFrame, table: DataFrame, queries: DataFrame) -> DataFrame:
+def _scored(pairs: DataFrame, table: DataFrame, queries: DataFrame, small: bool) -> DataFrame:
     """(query, node) pairs with the inner product in double precision."""
-    both = pairs.join(table.select("node", "vec"), "node").join(queries.select(F.col("node").alias("query"), F.col("vec").alias("query_vec")), "query")
+    sent = F.broadcast if small else (lambda df: df)
+    asked = queries.select(F.col("node").alias("query"), F.col("vec").alias("query_vec"))
+    both = pairs.join(sent(table.select("node", "vec")), "node").join(sent(asked), "query")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         of = lambda name: np.frombuffer(b"".join(batch.column(name).to_pylist()), np.float32).reshape(batch.num_rows, -1).astype(np.float64)
@@ -169,13 +182,14 @@ def _scored(pairs: DataFrame, table: DataFrame, queries: DataFrame) -> DataFrame
     return by_arrow(both.select("query", "node", "vec", "query_vec"), "query bigint, node bigint, score double", step)
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, beam: int = 32, rounds: int = 3, degree: int = 24, descents: int = 4) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = 20, beam: int = 64, rounds: int = 3, degree: int = 40, descents: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of rows whose vec_id is divisible by ``every``.
 
     Nearest first, ties to smaller vec_id, never the query's own id; all candidates where there are
     fewer. Rows that repeat an id with different vectors are outside the contract.
     """
     table = nodes(vectors, k)
+    small = _small(table, "vec")
     edges = graph(table, degree, descents)
     back = Window.partitionBy("b").orderBy(F.xxhash64("a", "b"))
     reverse = edges.withColumn("_at", F.row_number().over(back)).where(F.col("_at") <= degree).select(F.col("b").alias("a"), F.col("a").alias("b"))
@@ -185,13 +199,13 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, beam: int = 32, rou
     asked = write_and_read(query_nodes(valid, table), "queries")
     wanted = write_and_read(asked.select("node").distinct().join(table.select("node", "vec"), "node"), "wanted")
 
-    state = write_and_read(_scored(wanted.select(F.col("node").alias("query"), "node"), table, wanted).withColumn("round", F.lit(0)), "state")
+    state = write_and_read(_scored(wanted.select(F.col("node").alias("query"), "node"), table, wanted, small).withColumn("round", F.lit(0)), "state")
     for turn in range(1, rounds + 1):
         best = Window.partitionBy("query").orderBy(F.desc("score"), "node")
         opened = state.where("round = 0").withColumn("_at", F.row_number().over(best)).where(F.col("_at") <= beam)
         opened = write_and_read(opened.select("query", "node"), "opened")
         reached = opened.join(links, opened.node == links.a).select("query", F.col("b").alias("node")).distinct()
-        fresh = _scored(reached.join(state, ["query", "node"], "left_anti"), table, wanted).withColumn("round", F.lit(0))
+        fresh = _scored(reached.join(state, ["query", "node"], "left_anti"), table, wanted, small).withColumn("round", F.lit(0))
         done = opened.withColumn("_turn", F.lit(turn))
         marked = state.join(done, ["query", "node"], "left").select("query", "node", "score", F.coalesce("_turn", "round").alias("round"))
         state = write_and_read(marked.unionByName(fresh), "state")
