@@ -8,17 +8,21 @@ agree in a band of registers are candidates. Similarity is first estimated joint
 from the registers by likelihood, then settled on the full sets.
 
 Rows with equal sets are one class, known by its smallest id. In a band every class is
-compared with the smallest and the largest id there, not with all others. Bands
-whose classes then still lie in different components are gone through once more, across
-components only, so that no link is lost.
+compared with the smallest and the largest id there and with its neighbour in a random
+order, not with all others. Bands whose classes then lie in different components get
+more such rounds, across components only. What is still apart after those is
+compared in full, again across components only, so that no link is lost: few classes, since a
+group of copies is one component by then.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from featlake.llm.common import MIX_1, Words, bitmap_of, by_arrow, chained, in_bitmap, int_lists, mixed
@@ -29,8 +33,14 @@ REGISTERS, BAND = 160, 5
 BASE, RATE, TOP = 1.001, 20.0, 65_535
 
 #: Pairs whose estimate is further below the threshold than this aren't verified: over
-#: six standard errors of the estimate at REGISTERS registers.
-MARGIN = 0.2
+#: four standard errors of the estimate at REGISTERS registers.
+MARGIN = 0.15
+
+#: Classes of a band that one task puts in a random order; larger bands are dealt out.
+ORDERED = 10_000
+
+#: Rounds of random neighbours for bands that are in several components.
+ROUNDS = 2
 
 ID_BITS = 1 << 26
 
@@ -158,6 +168,63 @@ def _verified(docs: DataFrame, pairs: DataFrame, length: int, percent: int) -> D
     return by_arrow(pairs.join(side("a"), "a").join(side("b"), "b"), "a bigint, b bigint", step)
 
 
+def _neighbours(rows: DataFrame, seed: int, reach: int) -> DataFrame:
+    """Pairs of each row (band, id, n and perhaps component) with the ``reach`` before it in a random order
+    of its band; of rows with a component, only pairs across components."""
+    part = F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(F.col("n") / ORDERED))
+    order = Window.partitionBy("band", part).orderBy(F.xxhash64("id", "band", F.lit(seed)), "id")
+    labelled = "component" in rows.columns
+    other = F.struct("id", "component") if labelled else F.struct("id")
+    before = {f"_{k}": F.lag(other, k).over(order) for k in range(1, reach + 1)}
+    found = rows.withColumns(before).withColumn("o", F.explode(F.array(*before))).where("o is not null")
+    if labelled:
+        found = found.where("component <> o.component")
+    return found.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b"))
+
+
+def _open(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of bands of three classes or more that lie in several components, with the component
+    and whether it is the band's largest."""
+    labelled = met.where("n > 2").join(labels.withColumnRenamed("node", "id"), "id", "left")
+    labelled = labelled.select("band", "place", "id", "n", F.coalesce("component", "id").alias("component"))
+    sizes = labelled.groupBy("band", "component").agg(F.count("*").alias("size"))
+    bands = sizes.groupBy("band").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component")).alias("most")).where("parts > 1")
+    rows = labelled.join(bands, "band").withColumn("largest", F.col("component") == F.col("most.component"))
+    return write_and_read(rows.drop("parts", "most"), "open-bands")
+
+
+def _in_full(rows: DataFrame, threshold: float) -> DataFrame:
+    """Likely pairs across components of each band, each pair in the first band that it shares.
+
+    All but the largest component of a band are held, and the largest is streamed past them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        band, held = None, []
+        for batch in batches:
+            pairs: list[tuple[int, int]] = []
+            for row in batch.to_pylist():
+                if row["band"] != band:
+                    band, held = row["band"], []
+                own = np.frombuffer(row["registers"], "<u2")
+                others = [h for h in held if h[1] != row["component"]]
+                if others:
+                    regs = np.stack([h[2] for h in others])
+                    sizes = np.array([h[3] for h in others])
+                    small, large = np.minimum(sizes, row["size"]), np.maximum(sizes, row["size"])
+                    first = (regs == own).reshape(len(others), -1, BAND).all(2).argmax(1) == row["place"]
+                    for k in np.flatnonzero(first & (small >= threshold * large)):
+                        near = estimate(regs[k : k + 1], own[None], sizes[k : k + 1], np.array([row["size"]]))
+                        if near[0] >= threshold - MARGIN:
+                            pairs.append(tuple(sorted((others[k][0], row["id"]))))
+                if not row["largest"]:
+                    held.append((row["id"], row["component"], own, row["size"]))
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    named = rows.select("band", "place", "id", "component", "largest", F.col("registers_id").alias("registers"), F.col("size_id").alias("size"))
+    return named.repartition("band").sortWithinPartitions("band", "largest").mapInArrow(run, "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row.
 
@@ -173,14 +240,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     reps = reps.dropDuplicates(["doc_id", "set_key"])
     threshold = percent / 100
     banded = write_and_read(
-        reps.select(F.explode("bands").alias("band"), F.col("doc_id").alias("id")), "bands"
+        reps.select(F.posexplode("bands").alias("place", "band"), F.col("doc_id").alias("id")), "bands"
     )
     shared = write_and_read(
         banded.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low < high"), "shared-bands"
     )
     met = write_and_read(banded.join(shared, "band"), "met")
     pair = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
-    pairs = met.select(F.explode(F.array(pair("low", "id"), pair("id", "high"))).alias("p")).select("p.*")
+    pivots = met.select(F.explode(F.array(pair("low", "id"), pair("id", "high"))).alias("p")).select("p.*")
+    pairs = pivots.unionByName(_neighbours(met.where("n > 2"), 0, 1))
     side = lambda name: reps.select(
         F.col("doc_id").alias(name), F.col("registers").alias(f"registers_{name}"), F.col("n_shingles").alias(f"size_{name}")
     )
@@ -189,16 +257,17 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     links = write_and_read(_verified(docs, likely, shingle_words, percent), "links")
     labels = components(links)
 
-    # Bands whose classes lie in different components: across components, whatever wasn't tried.
-    labelled = met.where("n > 2").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_bands = labelled.groupBy("band").agg(F.min("component").alias("_min"), F.max("component").alias("_max")).where("_min < _max").select("band")
-    left_over = write_and_read(labelled.join(open_bands, "band").select("band", "id", "component", "low", "high"), "open-bands")
-    x = left_over.select("band", F.col("id").alias("a"), F.col("component").alias("ca"), "low", "high")
-    y = left_over.select("band", F.col("id").alias("b"), F.col("component").alias("cb"))
-    across = x.join(y, "band").where("ca <> cb and a < b and a <> low and b <> high").select("a", "b").distinct()
-    more = write_and_read(_likely(across.join(side("a"), "a").join(side("b"), "b"), threshold).distinct(), "likely-across")
-    if not more.isEmpty():
-        labels = components(links.unionByName(_verified(docs, more, shingle_words, percent)))
+    for turn in range(ROUNDS + 1):
+        apart = _open(met, labels)
+        if turn < ROUNDS:
+            across = _neighbours(apart, turn + 1, 3).distinct()
+            more = _likely(across.join(side("a"), "a").join(side("b"), "b"), threshold)
+        else:
+            more = _in_full(apart.join(side("id"), "id"), threshold)
+        more = write_and_read(more.distinct(), "likely-across")
+        if not more.isEmpty():
+            links = write_and_read(links.unionByName(_verified(docs, more, shingle_words, percent)), "links")
+            labels = components(links)
 
     by_class = classes.join(labels.withColumnRenamed("node", "a_class"), "a_class", "left").select(
         "set_key", F.coalesce("component", "a_class").alias("_component")
