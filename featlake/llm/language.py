@@ -3,7 +3,8 @@
 A text is parsed greedily into the longest phrases that occur in a language's
 reference text; the language that needs the fewest phrases per letter wins. The
 automaton's transitions are one table: a missing transition ends the phrase and
-starts the next at the same character, which the table marks by the sign. Texts are
+starts the next at the same character, which the table marks by the sign; a letter that a
+language doesn't have is passed over after that. Texts are
 cut into stretches that are stepped through side by side, whole texts throughout.
 """
 
