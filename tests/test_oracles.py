@@ -15,7 +15,8 @@ def con(sf_dir):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"bucket_jitter", "position_dropout", "window_shuffle", "score_samples"}
+    own = {name for name in QUERIES if name != "pipeline" and not name.startswith("op")}
+    assert own - set(ORACLES) == {"bucket_jitter", "position_dropout", "window_shuffle", "score_samples"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
