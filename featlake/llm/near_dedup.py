@@ -7,12 +7,11 @@ by the maximum, and equal registers grow likely with similarity. Documents that
 agree in a band of registers are candidates. Similarity is first estimated jointly
 from the registers by likelihood, then settled on the full sets.
 
-Rows with equal sets are one class, known by its smallest id. In a band every class is
-compared with the smallest and the largest id there and with its neighbour in a random
-order, not with all others. Bands whose classes then lie in different components get
-more such rounds, across components only. What is still apart after those is
-compared in full, again across components only, so that no link is lost: few classes, since a
-group of copies is one component by then.
+Rows with equal sets are one class, known by its smallest id. In each of the first bands
+every class is compared with the smallest id there, not with all others. From then on only pairs
+across components count: with the smallest and the largest id of every band, then with
+neighbours in a random order, and at last in full, so that no link is lost. Few classes are
+left by then, since a group of copies is one component.
 """
 
 from __future__ import annotations
@@ -34,7 +33,10 @@ BASE, RATE, TOP = 1.001, 20.0, 65_535
 
 #: Pairs whose estimate is further below the threshold than this aren't verified: over
 #: four standard errors of the estimate at REGISTERS registers.
-MARGIN = 0.15
+MARGIN = 0.13
+
+#: Bands looked at first; the others then only have to join what those left apart.
+FIRST_BANDS = 8
 
 #: Classes of a band that one task puts in a random order; larger bands are dealt out.
 ORDERED = 10_000
@@ -169,19 +171,24 @@ def _verified(docs: DataFrame, pairs: DataFrame, length: int, percent: int) -> D
 
 
 def _neighbours(rows: DataFrame, seed: int, reach: int) -> DataFrame:
-    """Pairs of each row (band, id, n and perhaps component) with the ``reach`` before it in a random order
-    of its band; of rows with a component, only pairs across components."""
+    """Pairs of each row (band, id, n, component) with the ``reach`` before it in a random order of its
+    band, across components only."""
     part = F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(F.col("n") / ORDERED))
     order = Window.partitionBy("band", part).orderBy(F.xxhash64("id", "band", F.lit(seed)), "id")
-    labelled = "component" in rows.columns
-    other = F.struct("id", "component") if labelled else F.struct("id")
-    before = {f"_{k}": F.lag(other, k).over(order) for k in range(1, reach + 1)}
-    found = rows.withColumns(before).withColumn("o", F.explode(F.array(*before))).where("o is not null")
-    if labelled:
-        found = found.where("component <> o.component")
+    before = {f"_{k}": F.lag(F.struct("id", "component"), k).over(order) for k in range(1, reach + 1)}
+    found = rows.withColumns(before).withColumn("o", F.explode(F.array(*before))).where("component <> o.component")
     return found.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b"))
 
 
+def _pivots(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of each row with the smallest and the largest id of its band, across components only."""
+    of = lambda name: labels.select(F.col("node").alias(name), F.col("component").alias(f"{name}_in"))
+    rows = met.join(of("id"), "id", "left").join(of("low"), "low", "left").join(of("high"), "high", "left")
+    own, low, high = (F.coalesce(f"{x}_in", x) for x in ("id", "low", "high"))
+    below = rows.where(own != low).select(F.col("low").alias("a"), F.col("id").alias("b"))
+    return below.unionByName(rows.where(own != high).select(F.col("id").alias("a"), F.col("high").alias("b")))
+
+
 def _open(met: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of bands of three classes or more that lie in several components, with the component
     and whether it is the band's largest."""
@@ -246,9 +253,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
         banded.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low < high"), "shared-bands"
     )
     met = write_and_read(banded.join(shared, "band"), "met")
-    pair = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
-    pivots = met.select(F.explode(F.array(pair("low", "id"), pair("id", "high"))).alias("p")).select("p.*")
-    pairs = pivots.unionByName(_neighbours(met.where("n > 2"), 0, 1))
+    pairs = met.where(F.col("place") < FIRST_BANDS).select(F.col("low").alias("a"), F.col("id").alias("b"))
     side = lambda name: reps.select(
         F.col("doc_id").alias(name), F.col("registers").alias(f"registers_{name}"), F.col("n_shingles").alias(f"size_{name}")
     )
@@ -257,10 +262,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     links = write_and_read(_verified(docs, likely, shingle_words, percent), "links")
     labels = components(links)
 
-    for turn in range(ROUNDS + 1):
-        apart = _open(met, labels)
-        if turn < ROUNDS:
-            across = _neighbours(apart, turn + 1, 3).distinct()
+    for turn in range(ROUNDS + 2):
+        apart = _open(met, labels) if turn else met
+        if turn <= ROUNDS:
+            across = (_neighbours(apart, turn, 3) if turn else _pivots(met, labels)).distinct()
             more = _likely(across.join(side("a"), "a").join(side("b"), "b"), threshold)
         else:
             more = _in_full(apart.join(side("id"), "id"), threshold)
