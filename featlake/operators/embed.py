@@ -72,7 +72,8 @@ def lookup_concat(
     ``features`` lists (fid, id column); a fid of None is a skipped feature and
     gives zeros. With a small table every lookup is a broadcast join and rows
     never move. With a large one the ids go through one join in long form and
-    come back together by ``keys``, which must identify a row.
+    come back together by a number given to each row, so rows that repeat ``keys``
+    stay apart; the other columns travel with them.
     """
     used = [f for f, _ in features if f is not None]
     if not used:
@@ -91,18 +92,19 @@ def lookup_concat(
         F.struct(F.lit(i).alias("_pos"), F.lit(fid).cast("bigint").alias("fid"), F.col(column).cast("bigint").alias("id"))
         for i, (fid, column) in enumerate(features)
     ]
-    long = df.select(*df.columns, F.inline(F.array(*cells)))
+    numbered = df.withColumn("_row", F.monotonically_increasing_id())
+    long = numbered.select(*numbered.columns, F.inline(F.array(*cells)))
     long = long.withColumn("id", F.when(F.col("fid").isNull(), F.lit(0)).otherwise(F.col("id")))
     keyed = long.withColumn("_key", _join_key(long, "id")).drop("id")
     vectors = table.select(F.col("fid"), F.col("id").alias("_key"), "vec")
     keyed = keyed.withColumn("fid", F.coalesce("fid", F.lit(-1)))
     found = keyed.join(vectors.hint("merge"), ["fid", "_key"], "left")
     cell = F.struct("_pos", F.coalesce("vec", zeros(width)).alias("vec"))
-    rest = [c for c in df.columns if c not in keys]
-    return found.groupBy(*keys).agg(
-        *[F.first(c).alias(c) for c in rest],
+    joined = found.groupBy("_row").agg(
+        *[F.first(c).alias(c) for c in df.columns],
         F.flatten(F.transform(F.sort_array(F.collect_list(cell)), lambda c: c["vec"])).alias(name),
     )
+    return joined.select(*df.columns, name)
 
 
 def bag_mean(
@@ -116,14 +118,17 @@ def bag_mean(
     name: str = "vec",
     limit: int | None = None,
 ) -> DataFrame:
-    """Mean vector of the non-zero ids of a padded list; zeros when there is none.
+    """Mean vector of the positive ids among the first ``n_slots`` of a list; zeros when there is none.
+
+    Null and empty lists give zeros. Rows that repeat ``keys`` are pooled one by one.
 
     Small table: one broadcast join per slot and no shuffle at all. Otherwise
     ids are exploded and joined, and vectors are averaged as ``width`` plain
     aggregates, so tasks combine a row's ids before anything is shuffled.
-    ``keys`` must identify a row and are the columns kept.
+    Only ``keys`` are kept.
     """
-    count = F.greatest(F.array_size(F.filter(F.col(ids), lambda x: x != 0)), F.lit(1))
+    df = df.select(*keys, F.slice(ids, 1, n_slots).alias(ids))
+    count = F.greatest(F.coalesce(F.array_size(F.filter(F.col(ids), lambda x: x > 0)), F.lit(0)), F.lit(1))
     if n_slots <= MAX_SLOTS and fits_broadcast(table.filter(F.col("fid") == fid), width, limit):
         joined = df.select(*keys, count.alias("_n"), *[F.get(ids, F.lit(i)).alias(f"_i{i}") for i in range(n_slots)])
         for i in range(n_slots):
@@ -136,13 +141,15 @@ def bag_mean(
 
         mean = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda d: total(d) / F.col("_n"))
         return joined.select(*keys, mean.alias(name))
-    long = df.select(*keys, F.posexplode(ids).alias("_pos", "_id"))
+    numbered = df.withColumn("_row", F.monotonically_increasing_id())
+    long = numbered.select(*keys, "_row", F.posexplode_outer(ids).alias("_pos", "_id"))
     keyed = long.withColumn("_key", _join_key(long, "_id"))
     vectors = _feature_table(table, fid, "_key", "_vec")
     joined = keyed.join(vectors.hint("merge"), "_key", "left")
     sums = [F.coalesce(F.sum(F.get("_vec", F.lit(d)).cast("double")), F.lit(0.0)) for d in range(width)]
-    n = F.greatest(F.count_if(F.col("_id") != 0), F.lit(1))
-    return joined.groupBy(*keys).agg(F.array(*[s / n for s in sums]).alias(name))
+    n = F.greatest(F.count_if(F.col("_id") > 0), F.lit(1))
+    pooled = joined.groupBy("_row").agg(*[F.first(k).alias(k) for k in keys], F.array(*[s / n for s in sums]).alias(name))
+    return pooled.select(*keys, name)
 
 
 def sequence_vectors(

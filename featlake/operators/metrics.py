@@ -225,6 +225,8 @@ def early_stop(
     more than ``delta``; ``patience`` misses in a row stop the run. Scores must
     not be NaN.
     """
+    if delta < 0:
+        raise ValueError(f"delta is {delta}, less than 0")
     seen, split = _records(history, run, step, score, max_rows)
     if delta > 0:
         return _stop_with_delta(seen, run, step, score, patience, delta)

@@ -10,7 +10,7 @@ from featlake.functions.ids import equal_chunks
 from featlake.operators import embed
 from featlake.plans import sql_tables as sql
 from featlake.plans import tables as t
-from featlake.plans.registry import query
+from featlake.plans.registry import ORACLES, query
 
 WIDTH = t.EMBEDDING_WIDTH
 IDS = t.EMBEDDING_IDS
@@ -93,6 +93,20 @@ def embedding_bag_mean(spark: SparkSession, sf: str) -> DataFrame:
     return pooled.select("l_orderkey", *digest("vec"))
 
 
+BAG_SQL = ORACLES["embedding_bag_mean"]
+
+
+@query("embedding_bag_mean_shuffled", BAG_SQL)
+def embedding_bag_mean_shuffled(spark: SparkSession, sf: str) -> DataFrame:
+    """The same means by the join for tables too large to send to the tasks."""
+    bags = t.multihot(spark, sf).select(
+        "l_orderkey", F.transform("parts", lambda p: p % (IDS + 1)).alias("ids")
+    )
+    table = t.embedding_table(spark, sf)
+    pooled = embed.bag_mean(bags, ["l_orderkey"], "ids", t.MULTIHOT_DIM, 1, table, WIDTH, limit=0)
+    return pooled.select("l_orderkey", *digest("vec"))
+
+
 def _pair_rows(spark: SparkSession, sf: str) -> DataFrame:
     return t.events(spark, sf).select(
         "event_id", (F.col("k") % (IDS + 1)).alias("id_1"), (F.col("user_id") % (IDS + 1)).alias("id_2")
@@ -114,6 +128,15 @@ def group_concat_vec(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("event_id", *probes("vec", THREE))
 
 
+@query("group_concat_vec_shuffled", ORACLES["group_concat_vec"])
+def group_concat_vec_shuffled(spark: SparkSession, sf: str) -> DataFrame:
+    """The same vectors by the join for tables too large to send to the tasks."""
+    features = [(1, "id_1"), (None, "id_1"), (2, "id_2")]
+    table = t.embedding_table(spark, sf)
+    found = embed.lookup_concat(_pair_rows(spark, sf), ["event_id"], features, table, WIDTH, limit=0)
+    return found.select("event_id", *probes("vec", THREE))
+
+
 _WIDE_LEN = 3 * WIDTH
 _CHUNK = -(-_WIDE_LEN // CHUNKS)
 

@@ -42,6 +42,8 @@ def training_data(
     shuffled order. It is a hash of (seed, block, row), so it costs no shuffle
     and a rerun gives the same order. Validation rows keep file order.
     """
+    if valid_from not in ("tail", "after_train"):
+        raise ValueError(f"valid_from is {valid_from!r}: neither 'tail' nor 'after_train'")
     n_blocks = row_groups(spark, path).count()
     n_train, n_valid = split_sizes(n_blocks, valid_ratio, train_ratio)
     valid_start = n_blocks - n_valid if valid_from == "tail" else n_train

@@ -25,9 +25,13 @@ def parse_catalog(documents: DataFrame, column: str) -> DataFrame:
     """Long catalog from a column of catalog documents (normally a single row).
 
     All groups are turned into one list of entries and exploded together, so
-    the documents are read once.
+    the documents are read once. Text that isn't JSON and a document without one of
+    the groups raise an error that says so.
     """
-    doc = documents.select(F.from_json(column, DOCUMENT_TYPE).alias("d")).select("d.*")
+    parsed = documents.select(F.from_json(column, DOCUMENT_TYPE, {"mode": "FAILFAST"}).alias("d")).select("d.*")
+    doc = parsed.select(
+        *[F.coalesce(c, F.raise_error(F.lit(f"catalog document without the group {c}"))).alias(c) for c in ("user_int", "item_int", "user_dense", "seq")]
+    )
     flat = [_flat_entries(grp) for grp in COLUMN_PREFIX]
     sequences = F.flatten(F.transform(F.map_entries("seq"), lambda s: _sequence_entries(s["key"], s["value"])))
     entries = doc.select(F.inline(F.concat(*flat, sequences)))

@@ -6,6 +6,7 @@ import pytest
 
 from featlake.catalog import Catalog, Feature
 from featlake.operators import embed, profile
+from featlake.plans import workflows
 from featlake.sources import catalog_json
 
 DOCUMENT = {
@@ -112,3 +113,15 @@ def test_specs_and_triage(spark, parsed):
 def test_slots_are_renumbered():
     catalog = Catalog([Feature("user_int", 3, "user_int_feats_3", 5, 2), Feature("user_int", 1, "user_int_feats_1", 5)])
     assert [(f.slot, f.offset) for f in catalog.features] == [(0, 0), (1, 2)]
+
+
+@pytest.mark.parametrize("document, named", [("{not json", "MALFORMED"), ('{"user_int": []}', "group")])
+def test_bad_catalog_documents_fail_loudly(spark, document, named):
+    bad = spark.createDataFrame([(document,)], "doc string")
+    with pytest.raises(Exception, match=f"(?i){named}"):
+        catalog_json.parse_catalog(bad, "doc").collect()
+
+
+def test_unknown_validation_choice_is_refused(spark):
+    with pytest.raises(ValueError, match="valid_from"):
+        workflows.training_data(spark, "/nowhere", None, valid_from="head")

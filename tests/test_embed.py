@@ -47,6 +47,32 @@ def test_concat(spark, table, vectors, limit):
     assert skipped["vec"] == [0.0] * WIDTH
 
 
+@pytest.mark.parametrize("limit", [None, 0])
+def test_bag_mean_of_odd_lists(spark, table, vectors, limit):
+    bags = [(0, [1, 2, 3]), (1, []), (2, None), (3, [-4, 5]), (4, [6, 0, 7]), (5, [8]), (5, [9]), (6, [None, 2]), (7, [99, 3])]
+    df = spark.createDataFrame(bags, "r bigint, ids array<bigint>")
+    got = sorted((r["r"], r["vec"]) for r in embed.bag_mean(df, ["r"], "ids", 2, 1, table, WIDTH, limit=limit).collect())
+    want = []
+    for r, ids in bags:
+        used = [i for i in (ids or [])[:2] if i and i > 0]
+        total = sum((vec(vectors, 1, i).astype(float) for i in used), np.zeros(WIDTH))
+        want.append((r, (total / max(len(used), 1)).tolist()))
+    want.sort()
+    assert [r for r, _ in got] == [r for r, _ in want]
+    assert np.allclose([v for _, v in got], [v for _, v in want])
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_concat_keeps_rows_that_repeat_a_key(spark, table, vectors, limit):
+    df = spark.createDataFrame([(1, 2, 3), (1, 4, 5), (1, 4, 5)], "r bigint, a bigint, b bigint")
+    got = embed.lookup_concat(df, ["r"], [(1, "a"), (2, "b")], table, WIDTH, limit=limit)
+    assert got.columns == ["r", "a", "b", "vec"]
+    rows = sorted((r["a"], r["vec"]) for r in got.collect())
+    assert [a for a, _ in rows] == [2, 4, 4]
+    for a, v in rows:
+        assert np.allclose(v, np.concatenate([vec(vectors, 1, a), vec(vectors, 2, a + 1)]))
+
+
 @pytest.mark.parametrize("limit, n_slots", [(None, 4), (0, 4), (None, 30)])
 def test_bag_mean(spark, table, vectors, limit, n_slots):
     bags = [(0, [0, 0, 0, 0]), (1, [3, 3, 0, 5]), (2, [20, 21, 0, 0]), (3, []), (4, [1, 2, 3, 4])]
