@@ -42,7 +42,7 @@ FIRST_BANDS = 8
 ORDERED = 10_000
 
 #: Rounds of random neighbours for bands that are in several components.
-ROUNDS = 2
+ROUNDS = 1
 
 ID_BITS = 1 << 26
 
