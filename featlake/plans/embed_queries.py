@@ -13,8 +13,9 @@ from featlake.plans import tables as t
 from featlake.plans.registry import ORACLES, query
 
 WIDTH = t.EMBEDDING_WIDTH
-IDS = t.EMBEDDING_IDS
 CHUNKS = 5
+#: Slots of the pooled feature; the operator itself cuts longer lists.
+SLOTS = 8
 
 SEQUENCE_CATALOG = Catalog(
     [
@@ -23,7 +24,7 @@ SEQUENCE_CATALOG = Catalog(
         Feature("seq", 3, "times", 3_000_000_000, domain="seq_a"),
     ]
 )
-SEQUENCE_LEN = 8
+SEQUENCE_LEN = t.HISTORY
 
 
 def digest(vec: str) -> list[Column]:
@@ -61,13 +62,13 @@ ZEROS = f"list_transform(range(0, {WIDTH}), lambda z: 0::FLOAT)"
 @query(
     "embedding_lookup",
     f"""WITH {sql.EMBEDDING_TABLE},
-found AS (SELECT l_orderkey, l_linenumber, l_partkey, l_partkey % {IDS + 1} AS id, coalesce(e.vec, {ZEROS}) AS vec
-  FROM lineitem l LEFT JOIN emb e ON e.fid = 1 AND e.id = l.l_partkey % {IDS + 1} AND e.id > 0)
+found AS (SELECT l_orderkey, l_linenumber, l_partkey, l_partkey AS id, coalesce(e.vec, {ZEROS}) AS vec
+  FROM lineitem l LEFT JOIN emb e ON e.fid = 1 AND e.id = l.l_partkey AND e.id > 0)
 SELECT l_orderkey, l_linenumber, l_partkey, {probes_sql('vec', ONE)} FROM found""",
 )
 def embedding_lookup(spark: SparkSession, sf: str) -> DataFrame:
     rows = t.table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", (F.col("l_partkey") % (IDS + 1)).alias("id")
+        "l_orderkey", "l_linenumber", "l_partkey", F.col("l_partkey").alias("id")
     )
     found = embed.lookup(rows, "id", 1, t.embedding_table(spark, sf), WIDTH)
     return found.select("l_orderkey", "l_linenumber", "l_partkey", *probes("vec", ONE))
@@ -76,7 +77,7 @@ def embedding_lookup(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "embedding_bag_mean",
     f"""WITH {sql.EMBEDDING_TABLE}, {sql.MULTIHOT},
-ids AS (SELECT l_orderkey, list_transform(parts, lambda p: p % {IDS + 1}) AS ids FROM multihot),
+ids AS (SELECT l_orderkey, list_slice(parts, 1, {SLOTS}) AS ids FROM multihot),
 cells AS (
   SELECT l_orderkey, i, sum(coalesce(vec[i + 1], 0)::DOUBLE) / greatest(count(*) FILTER (WHERE id <> 0), 1) AS v
   FROM (SELECT b.l_orderkey, b.id, e.vec, unnest(range(0, {WIDTH})) AS i
@@ -87,9 +88,9 @@ SELECT l_orderkey, {digest_sql('vec')} FROM pooled""",
 )
 def embedding_bag_mean(spark: SparkSession, sf: str) -> DataFrame:
     bags = t.multihot(spark, sf).select(
-        "l_orderkey", F.transform("parts", lambda p: p % (IDS + 1)).alias("ids")
+        "l_orderkey", F.col("parts").alias("ids")
     )
-    pooled = embed.bag_mean(bags, ["l_orderkey"], "ids", t.MULTIHOT_DIM, 1, t.embedding_table(spark, sf), WIDTH)
+    pooled = embed.bag_mean(bags, ["l_orderkey"], "ids", SLOTS, 1, t.embedding_table(spark, sf), WIDTH)
     return pooled.select("l_orderkey", *digest("vec"))
 
 
@@ -100,24 +101,24 @@ BAG_SQL = ORACLES["embedding_bag_mean"]
 def embedding_bag_mean_shuffled(spark: SparkSession, sf: str) -> DataFrame:
     """The same means by the join for tables too large to send to the tasks."""
     bags = t.multihot(spark, sf).select(
-        "l_orderkey", F.transform("parts", lambda p: p % (IDS + 1)).alias("ids")
+        "l_orderkey", F.col("parts").alias("ids")
     )
     table = t.embedding_table(spark, sf)
-    pooled = embed.bag_mean(bags, ["l_orderkey"], "ids", t.MULTIHOT_DIM, 1, table, WIDTH, limit=0)
+    pooled = embed.bag_mean(bags, ["l_orderkey"], "ids", SLOTS, 1, table, WIDTH, limit=0)
     return pooled.select("l_orderkey", *digest("vec"))
 
 
 def _pair_rows(spark: SparkSession, sf: str) -> DataFrame:
     return t.events(spark, sf).select(
-        "event_id", (F.col("k") % (IDS + 1)).alias("id_1"), (F.col("user_id") % (IDS + 1)).alias("id_2")
+        "event_id", F.col("k").alias("id_1"), F.col("user_id").alias("id_2")
     )
 
 
 _PAIR_SQL = f"""{sql.EVENTS}, {sql.EMBEDDING_TABLE},
 pairs AS (
   SELECT event_id, list_concat(coalesce(a.vec, {ZEROS}), {ZEROS}, coalesce(b.vec, {ZEROS})) AS vec
-  FROM ev LEFT JOIN emb a ON a.fid = 1 AND a.id = ev.k % {IDS + 1}
-          LEFT JOIN emb b ON b.fid = 2 AND b.id = ev.user_id % {IDS + 1})"""
+  FROM ev LEFT JOIN emb a ON a.fid = 1 AND a.id = ev.k
+          LEFT JOIN emb b ON b.fid = 2 AND b.id = ev.user_id)"""
 
 
 @query("group_concat_vec", f"WITH {_PAIR_SQL} SELECT event_id, {probes_sql('vec', THREE)} FROM pairs")

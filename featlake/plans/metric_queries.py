@@ -286,5 +286,5 @@ def score_samples(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("label_type") == 2, 1).otherwise(0).alias("label"),
     )
     filled = samples.fillna(0, ["k", "nation", "segment"])
-    model = score.fit_linear(filled, "label", ["value"], ["k", "nation", "segment"], max_iter=10)
+    model = score.fit_linear(filled, "label", ["value"], ["k", "nation", "segment"])
     return score.score(filled, model, ["event_id", "user_id"])

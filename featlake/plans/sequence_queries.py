@@ -80,12 +80,12 @@ def seq_truncate(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "time_bucket",
     f"""WITH {sql.EVENT_HISTORY}
-SELECT event_id, {sql.text(f"list_transform(range(0, 64), lambda i: {sql.bucket('timestamp', '(times)[i + 1]')})")} AS buckets
+SELECT event_id, {sql.text(f"list_transform(range(0, {t.HISTORY}), lambda i: {sql.bucket('timestamp', '(times)[i + 1]')})")} AS buckets
 FROM hist_a""",
 )
 def time_bucket(spark: SparkSession, sf: str) -> DataFrame:
     return t.event_history(spark, sf).select(
-        "event_id", t.joined_text(event_buckets("timestamp", "times", 64)).alias("buckets")
+        "event_id", t.joined_text(event_buckets("timestamp", "times", t.HISTORY)).alias("buckets")
     )
 
 
@@ -195,8 +195,10 @@ def time_gap_features(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {sql.WIDE},
 means AS (
   SELECT event_id,
-         coalesce(list_sum(list_slice(domain_a_seq_40, 1, 64))::DOUBLE, 0) / greatest(least(len(domain_a_seq_40), 64), 1) AS a,
-         coalesce(list_sum(list_slice(domain_b_seq_68, 1, 16))::DOUBLE, 0) / greatest({sql.used('domain_b_seq_68', 16)}, 1) AS b
+         coalesce(list_sum(list_slice(domain_a_seq_40, 1, {t.SEQ_MAX_LENS['seq_a']}))::DOUBLE, 0)
+           / greatest({sql.used('domain_a_seq_40', t.SEQ_MAX_LENS['seq_a'])}, 1) AS a,
+         coalesce(list_sum(list_slice(domain_b_seq_68, 1, {t.SEQ_MAX_LENS['seq_b']}))::DOUBLE, 0)
+           / greatest({sql.used('domain_b_seq_68', t.SEQ_MAX_LENS['seq_b'])}, 1) AS b
   FROM wide)
 SELECT event_id, 'seq_a' AS domain_1, 'seq_b' AS domain_2, {sql.r6('a')} AS pool_1, {sql.r6('b')} AS pool_2 FROM means""",
 )
@@ -212,7 +214,7 @@ def domain_pair_pool(spark: SparkSession, sf: str) -> DataFrame:
 @query("bucket_jitter")
 def bucket_jitter(spark: SparkSession, sf: str) -> DataFrame:
     """Random by a hash that other engines lack: checked by properties in the tests."""
-    buckets = t.event_history(spark, sf).select("event_id", event_buckets("timestamp", "times", 64).alias("buckets"))
+    buckets = t.event_history(spark, sf).select("event_id", event_buckets("timestamp", "times", t.HISTORY).alias("buckets"))
     return buckets.select(
         "event_id",
         t.joined_text(F.col("buckets")).alias("buckets"),

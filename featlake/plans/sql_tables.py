@@ -7,7 +7,6 @@ from featlake.plans.tables import (
     BLOCK_ROWS,
     EVENT_TYPES,
     HISTORY,
-    MULTIHOT_DIM,
     ORDER_HISTORY,
     SEGMENTS,
     STATUSES,
@@ -93,12 +92,9 @@ scores AS (
 METRIC_HISTORY = """hist AS (
   SELECT user_id AS run, event_id AS step, value AS score, event_type AS note FROM events)"""
 
-MULTIHOT = f"""multihot AS (
-  SELECT l_orderkey, list(l_partkey ORDER BY rk) AS parts
-  FROM (SELECT l_orderkey, l_partkey,
-               row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rk
-        FROM lineitem)
-  WHERE rk <= {MULTIHOT_DIM} GROUP BY l_orderkey)"""
+MULTIHOT = """multihot AS (
+  SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS parts
+  FROM lineitem GROUP BY l_orderkey)"""
 
 EMBEDDING_TABLE = """emb AS (
   SELECT vec_id % 2 + 1 AS fid, vec_id // 2 + 1 AS id, embedding AS vec FROM embeddings)"""

@@ -9,18 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featlake.catalog import Catalog, Feature
-from featlake.operators.ordering import first_k
 from featlake.operators.sequence import build_history, latest_events
 
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 STATUSES = ("F", "O", "P")
 HISTORY = 256
-ORDER_HISTORY = 20
+ORDER_HISTORY = 256
 BLOCK_ROWS = 500
+#: Slots of a padded multi-hot feature; lists are cut to it by the padding itself.
 MULTIHOT_DIM = 4
 
-SEQ_MAX_LENS = {"seq_a": 64, "seq_b": 16}
+SEQ_MAX_LENS = {"seq_a": 256, "seq_b": 256}
 
 # A catalog whose vocabularies are partly too small, so that clipping and the
 # audit have work to do; feature 62 has no vocabulary at all.
@@ -207,11 +207,9 @@ def metric_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def multihot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per order, the part keys of its first lines."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    order = [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")]
-    ranked = first_k(lines, ["l_orderkey"], order, MULTIHOT_DIM)
-    listed = ranked.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("_rank", "l_partkey"))).alias("l"))
+    """Per order, the part keys of all its lines."""
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey")
+    listed = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("l"))
     return listed.select("l_orderkey", F.col("l.l_partkey").alias("parts"))
 
 
@@ -225,7 +223,6 @@ def embedding_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EMBEDDING_WIDTH = 64
-EMBEDDING_IDS = 250
 
 
 def joined_text(column: Column) -> Column:

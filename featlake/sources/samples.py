@@ -11,8 +11,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from featlake.session import write_and_read
+
 ROW_GROUP_SCHEMA = "file string, row_group int, n_rows bigint, first_row bigint"
 
+# A block list is sent to every task only below this size.
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
     """One Parquet file, or all ``*.parquet`` files of a folder."""
@@ -97,8 +102,11 @@ def read_blocks(
     and so are batches, which never span blocks. All three follow from a row's
     file and its place in it, so batching needs no sort and no window. Files
     wholly outside the range are cut off by a filter on their names.
+
+    The block list is stored once and sent to every task while it is below
+    MAX_BROADCAST_BYTES (some three million row groups), so sample rows are not shuffled.
     """
-    blocks = file_blocks(row_groups(spark, path), batch_size)
+    blocks = write_and_read(file_blocks(row_groups(spark, path), batch_size), "file-blocks")
     rows = read_samples(spark, path).select(
         "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")
     )
@@ -119,6 +127,9 @@ def read_blocks(
 def _placed(rows: DataFrame, blocks: DataFrame, batch_size: int) -> DataFrame:
     nth = F.array_size(F.filter("starts", lambda s: s <= F.col("_row"))) - 1
     columns = [c for c in rows.columns if c not in ("_file", "_row")]
+    n_files, n_blocks = blocks.agg(F.count("*"), F.sum("n_blocks")).first()
+    if 200 * n_files + 16 * (n_blocks or 0) <= MAX_BROADCAST_BYTES:
+        blocks = F.broadcast(blocks)
     return (
         rows.join(blocks, rows["_file"] == blocks["file"])
         .withColumn("_nth", nth)
