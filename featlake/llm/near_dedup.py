@@ -207,26 +207,29 @@ def _in_full(rows: DataFrame, threshold: float) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band, held = None, []
+        band, n = None, 0
+        regs, held = np.empty((64, REGISTERS), "<u2"), np.empty((3, 64), np.int64)  # held: id, component, size
         for batch in batches:
-            pairs: list[tuple[int, int]] = []
-            for row in batch.to_pylist():
-                if row["band"] != band:
-                    band, held = row["band"], []
-                own = np.frombuffer(row["registers"], "<u2")
-                others = [h for h in held if h[1] != row["component"]]
-                if others:
-                    regs = np.stack([h[2] for h in others])
-                    sizes = np.array([h[3] for h in others])
-                    small, large = np.minimum(sizes, row["size"]), np.maximum(sizes, row["size"])
-                    first = (regs == own).reshape(len(others), -1, BAND).all(2).argmax(1) == row["place"]
-                    for k in np.flatnonzero(first & (small >= threshold * large)):
-                        near = estimate(regs[k : k + 1], own[None], sizes[k : k + 1], np.array([row["size"]]))
-                        if near[0] >= threshold - MARGIN:
-                            pairs.append(tuple(sorted((others[k][0], row["id"]))))
-                if not row["largest"]:
-                    held.append((row["id"], row["component"], own, row["size"]))
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+            ids = np.column_stack([batch.column(name).to_numpy() for name in ("id", "component", "size", "band", "place")])
+            own_of = np.frombuffer(b"".join(batch.column("registers").to_pylist()), "<u2").reshape(-1, REGISTERS)
+            pairs = [np.zeros((2, 0), np.int64)]
+            for (id_, component, size, its_band, place), own, largest in zip(ids, own_of, batch.column("largest").to_pylist()):
+                if its_band != band:
+                    band, n = its_band, 0
+                sizes = held[2, :n]
+                fits = np.minimum(sizes, size) >= threshold * np.maximum(sizes, size)
+                at = np.flatnonzero(fits & (held[1, :n] != component))
+                if len(at):
+                    at = at[(regs[at] == own).reshape(len(at), -1, BAND).all(2).argmax(1) == place]
+                for part in np.array_split(at, -(-len(at) // 1000)) if len(at) else []:
+                    near = estimate(regs[part], own[None], held[2, part], np.full(len(part), size)) >= threshold - MARGIN
+                    found = held[0, part[near]]
+                    pairs.append(np.stack([np.minimum(found, id_), np.maximum(found, id_)]))
+                if not largest:
+                    if n == len(regs):
+                        regs, held = np.concatenate([regs, np.empty_like(regs)]), np.concatenate([held, np.empty_like(held)], axis=1)
+                    regs[n], held[:, n], n = own, (id_, component, size), n + 1
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in np.concatenate(pairs, axis=1)], ["a", "b"])
 
     named = rows.select("band", "place", "id", "component", "largest", F.col("registers_id").alias("registers"), F.col("size_id").alias("size"))
     return named.repartition("band").sortWithinPartitions("band", "largest").mapInArrow(run, "a bigint, b bigint")
