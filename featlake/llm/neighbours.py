@@ -2,11 +2,12 @@
 
 Equal vectors are one node, known by its smallest id; a node remembers its smallest ids,
 no more than an answer can hold, since ties go to smaller ids. The neighbour graph starts from
-blocks of a few random hyperplanes. Then, round by round, Spark joins every node with
-its neighbours and those it is a neighbour of, and introduces them to each other. A
-query starts at its own node and expands the best unexpanded nodes it has seen; all queries
-take a step in the same joins. Every vector is in the graph; nearness is recomputed in
-double precision on the vectors as they are.
+blocks of a few random hyperplanes; a block that holds too many nodes is cut by further
+hyperplanes, and in pieces that differ from tree to tree where those don't part it. Then,
+round by round, Spark joins every node with its neighbours and those it is a neighbour of,
+and introduces them to each other. A query starts at its own node and expands the best
+unexpanded nodes it has seen; all queries take a step in the same joins. Every vector is in
+the graph; nearness is recomputed in double precision on the vectors as they are.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from featlake.llm.common import by_arrow
+from featlake.llm.common import by_arrow, int_lists
 from featlake.session import write_and_read
 
 EDGES = "a bigint, b bigint, score float"
@@ -27,6 +28,9 @@ EDGES = "a bigint, b bigint, score float"
 #: Vectors up to this size in all are sent to the tasks; larger tables meet by a shuffle.
 BROADCAST_BYTES = 32 << 20
 
+#: Hyperplanes kept for blocks that are too large, and how often blocks are counted and cut by some of them.
+MORE_BITS, CUTS = 24, 4
+
 
 def nodes(vectors: DataFrame, k: int) -> DataFrame:
     """node, vec (float32 bytes) and ids (the k + 1 smallest) for each distinct vector that takes part.
@@ -128,6 +132,49 @@ def _best(edges: DataFrame, degree: int) -> DataFrame:
     return once.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= degree).drop("_at")
 
 
+def _blocks(halves: DataFrame, count: int, width: int, trees: int, block: int, seed: int) -> DataFrame:
+    """(grp, node, half): each node once for each tree, in blocks of about ``block`` and under 4 * ``block`` nodes.
+
+    Blocks are counted. One of over 2 * ``block`` nodes is cut by as many further hyperplanes as would
+    bring it to ``block``, CUTS times at most; what is too large then, such as vectors that
+    hardly differ, is dealt by a hash of node and tree, so other trees part other nodes.
+    """
+    bits = max(0, int(np.ceil(np.log2(max(1, count / block)))))
+    more = min(MORE_BITS, 62 - bits)
+    planes = np.random.default_rng(seed).normal(size=(width, trees * (bits + more))).astype(np.float32)
+    weights = 1 << np.arange(bits + more - 1, -1, -1, dtype=np.int64)
+
+    def dealt(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float16).reshape(-1, width).astype(np.float32)
+        codes = (x @ planes > 0).reshape(len(x), trees, -1) @ weights
+        return pa.RecordBatch.from_arrays([*batch.columns, int_lists(codes.ravel(), [trees] * len(x), pa.int64())], ["node", "half", "codes"])
+
+    coded = write_and_read(by_arrow(halves, "node bigint, half binary, codes array<bigint>", dealt), "codes")
+    cell = F.expr(f"shiftright(code, {more} - depth)").alias("cell")
+    at = ["tree", "depth", "cell"]
+
+    def cut(dealt_out: DataFrame, dense: list[DataFrame]) -> DataFrame:
+        for found in dense:
+            joined = dealt_out.withColumn("cell", cell).join(F.broadcast(found), at, "left")
+            dealt_out = joined.withColumn("depth", F.col("depth") + F.coalesce("deeper", F.lit(0))).drop("cell", "deeper")
+            dealt_out = dealt_out.withColumn("pieces", F.coalesce("cut_in", "pieces")).drop("cut_in")
+        return dealt_out
+
+    once = lambda *columns: coded.select(*columns, F.posexplode("codes").alias("tree", "code")).withColumns({"depth": F.lit(0), "pieces": F.lit(1)})
+    dense: list[DataFrame] = []
+    for turn in range(CUTS + 1):
+        sizes = cut(once(), dense).groupBy("tree", "depth", cell).count().where(F.col("count") > 2 * block)
+        wanted = F.ceil(F.log2(F.col("count") / block)).cast("int") if turn < CUTS else F.lit(0)
+        pieces = F.ceil(F.col("count") / block).cast("int") if turn == CUTS else F.lit(None).cast("int")
+        found = sizes.select(*at, F.least(wanted, F.lit(more) - F.col("depth")).alias("deeper"), pieces.alias("cut_in"))
+        found = write_and_read(found, "dense")
+        if found.isEmpty():
+            break
+        dense.append(found)
+    piece = F.pmod(F.xxhash64("node", "tree"), F.col("pieces"))
+    return cut(once("node", "half"), dense).select(F.xxhash64("tree", "depth", cell, piece).alias("grp"), "node", "half")
+
+
 def graph(table: DataFrame, degree: int = 40, rounds: int = 5, trees: int = 8, block: int = 256, seed: int = 11) -> DataFrame:
     """Directed edges (a, b, score): about the ``degree`` nearest of each node.
 
@@ -139,20 +186,8 @@ def graph(table: DataFrame, degree: int = 40, rounds: int = 5, trees: int = 8, b
     if first is None:
         return table.sparkSession.createDataFrame([], EDGES)
     width, small = len(first["half"]) // 2, _small(halves, "half")
-    bits = max(0, int(np.ceil(np.log2(max(1, count / block)))))
-    planes = np.random.default_rng(seed).normal(size=(trees, width, bits)).astype(np.float32)
-
-    def dealt(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float16).reshape(-1, width).astype(np.float32)
-        signs = (np.einsum("nw,twb->tnb", x, planes) > 0) @ (1 << np.arange(bits, dtype=np.int64))
-        groups = (signs * trees + np.arange(trees)[:, None]).astype(np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(groups.ravel()), pa.concat_arrays([batch.column(0)] * trees), pa.concat_arrays([batch.column(1)] * trees)], ["grp", "node", "half"]
-        )
-
-    blocks = by_arrow(halves, "grp bigint, node bigint, half binary", dealt).withColumn("least", F.lit(-np.inf).cast("float"))
-    salt = F.pmod(F.xxhash64("node"), F.lit(16))  # a dense block goes to several tasks
-    spread = blocks.repartition("grp", salt).sortWithinPartitions("grp", salt, "node")
+    blocks = _blocks(halves, count, width, trees, block, seed).withColumn("least", F.lit(-np.inf).cast("float"))
+    spread = blocks.repartition("grp").sortWithinPartitions("grp", "node").select("grp", "node", "half", "least")
     edges = write_and_read(_best(spread.mapInArrow(_introduce(width, 4 * block, 12), EDGES), degree), "edges")
     for _ in range(rounds):
         back = Window.partitionBy("b").orderBy(F.xxhash64("a", "b"))

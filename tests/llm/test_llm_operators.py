@@ -337,6 +337,52 @@ def test_neighbours_reach_the_recall(spark, sf_dir):
     assert hits >= 0.9 * 20 * len(found)
 
 
+def in_groups(spark, groups, size, spread, seed=4):
+    """Vectors around ``groups`` centres, as rows and as a matrix."""
+    rng = np.random.default_rng(seed)
+    x = np.repeat(rng.normal(size=(groups, 32)), size, 0) + spread * rng.normal(size=(groups * size, 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    return spark.createDataFrame(list(enumerate(x.tolist())), "vec_id bigint, embedding array<float>"), x
+
+
+@pytest.fixture
+def many_partitions(spark):
+    given = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "64"}
+    old = {k: spark.conf.get(k) for k in given}
+    for k, v in given.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_start_of_the_graph_does_not_follow_the_partitions(spark, many_partitions):
+    given, x = in_groups(spark, 30, 100, 0.7)
+    found = {}
+    for r in neighbours.graph(neighbours.nodes(given, 20), rounds=0).collect():
+        found.setdefault(r.a, set()).add(r.b)
+    scores = x @ x.T
+    np.fill_diagonal(scores, -np.inf)
+    near = np.argpartition(-scores, 10, axis=1)[:, :10]
+    assert np.mean([len(found.get(a, set()) & set(row)) / 10 for a, row in enumerate(near.tolist())]) > 0.6
+
+
+def test_dense_blocks_are_cut_by_nearness_then_differently_in_each_tree(spark):
+    rng = np.random.default_rng(8)
+    far = rng.normal(size=(2000, 32)) + 8  # nearly all hyperplanes leave these on one side
+    close = np.ones((1500, 32)) + 1e-4 * rng.normal(size=(1500, 32))
+    rows = [(k, v.astype(np.float32).tobytes()) for k, v in enumerate(np.concatenate([far, close]))]
+    halves = neighbours._halved(spark.createDataFrame(rows, "node bigint, vec binary"))
+    blocks = neighbours._blocks(halves, 3500, 32, 4, 64, 11)
+    members = {}
+    for r in blocks.select("grp", "node").collect():
+        members.setdefault(r.grp, set()).add(r.node)
+    assert sum(map(len, members.values())) == 4 * 3500 and set.union(*members.values()) == set(range(3500))
+    assert max(map(len, members.values())) < 4 * 64
+    met = set().union(*(m for m in members.values() if 2000 in m)) - {2000}
+    assert len(met) > 1.5 * max(len(m) for m in members.values() if 2000 in m)
+
+
 def test_packing_query_covers_all_documents(spark, sf_dir):
     found = op6_best_two_fit(spark, sf_dir)
     assert found.select("doc_id").distinct().count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
