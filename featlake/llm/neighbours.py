@@ -5,8 +5,10 @@ no more than an answer can hold, since ties go to smaller ids. The neighbour gra
 blocks of a few random hyperplanes; a block that holds too many nodes is cut by further
 hyperplanes, and in pieces that differ from tree to tree where those don't part it. Then,
 round by round, Spark joins every node with its neighbours and those it is a neighbour of,
-and introduces them to each other. A query starts at its own node and expands the best
-unexpanded nodes it has seen; all queries take a step in the same joins. Every vector is in
+and introduces them to each other. In a block or such a meeting a node takes as many partners
+as an answer and itself need, and it keeps links to a few nodes chosen by a hash, so that the
+nearest don't shut it off from the rest. A query starts at its own node and at a few
+chosen by a hash, and expands the best unexpanded nodes it has seen; all queries take a step in the same joins. Every vector is in
 the graph; nearness is recomputed in double precision on the vectors as they are.
 """
 
@@ -31,6 +33,12 @@ BROADCAST_BYTES = 32 << 20
 #: Hyperplanes kept for blocks that are too large, and how often blocks are counted and cut by some of them.
 MORE_BITS, CUTS = 24, 4
 
+#: Groups by a hash, of about so many nodes, in which each node has links to all others.
+FAR_GROUPS, FAR = 2, 4
+
+#: About so many nodes, chosen by a hash, are where a query starts besides its own.
+ENTRIES = 8
+
 
 def nodes(vectors: DataFrame, k: int) -> DataFrame:
     """node, vec (float32 bytes) and ids (the k + 1 smallest) for each distinct vector that takes part.
@@ -175,9 +183,34 @@ def _blocks(halves: DataFrame, count: int, width: int, trees: int, block: int, s
     return cut(once("node", "half"), dense).select(F.xxhash64("tree", "depth", cell, piece).alias("grp"), "node", "half")
 
 
-def graph(table: DataFrame, degree: int = 40, rounds: int = 5, trees: int = 8, block: int = 256, seed: int = 11) -> DataFrame:
+def _by_chance(table: DataFrame, count: int) -> DataFrame:
+    """(grp, node): each node in FAR_GROUPS groups of about FAR, whatever its vector is."""
+    turns = table.select("node", F.explode(F.array(*map(F.lit, range(FAR_GROUPS)))).alias("turn"))
+    return turns.select(F.xxhash64("turn", F.pmod(F.xxhash64("node", "turn"), F.lit(max(1, count // FAR)))).alias("grp"), "node")
+
+
+def _far_links(table: DataFrame, count: int) -> DataFrame:
+    """Links (a, b) within the groups of ``_by_chance``, in both directions."""
+    groups = _by_chance(table, count)
+    pairs = groups.select("grp", F.col("node").alias("a")).join(groups.select("grp", F.col("node").alias("b")), "grp")
+    return pairs.where("a <> b").select("a", "b")
+
+
+def _entries(asked: DataFrame, table: DataFrame, count: int) -> DataFrame:
+    """(query, node): a query's own node and about ENTRIES others; all nodes of a table of less than twice that."""
+    slot = F.pmod(F.xxhash64("node", F.lit("entry")), F.lit(max(1, count // ENTRIES))).alias("slot")
+    own = asked.select(F.col("node").alias("query"), "node")
+    chosen = asked.select(F.col("node").alias("query"), F.pmod(F.xxhash64("node"), F.lit(max(1, count // ENTRIES))).alias("slot"))
+    return own.unionByName(chosen.join(table.select("node", slot), "slot").select("query", "node")).distinct()
+
+
+def graph(
+    table: DataFrame, degree: int = 40, rounds: int = 5, trees: int = 8, block: int = 256, seed: int = 11, partners: int = 21
+) -> DataFrame:
     """Directed edges (a, b, score): about the ``degree`` nearest of each node.
 
+    The ``partners`` best of each block and each meeting are taken, and all of a small group by chance.
+
     A node is introduced to its neighbours and to up to ``degree`` nodes, chosen by a
     hash, that it is a neighbour of; the rest reach it through their own neighbours.
     """
@@ -186,9 +219,10 @@ def graph(table: DataFrame, degree: int = 40, rounds: int = 5, trees: int = 8, b
     if first is None:
         return table.sparkSession.createDataFrame([], EDGES)
     width, small = len(first["half"]) // 2, _small(halves, "half")
-    blocks = _blocks(halves, count, width, trees, block, seed).withColumn("least", F.lit(-np.inf).cast("float"))
+    blocks = _blocks(halves, count, width, trees, block, seed).unionByName(_by_chance(halves, count).join(halves, "node"))
+    blocks = blocks.withColumn("least", F.lit(-np.inf).cast("float"))
     spread = blocks.repartition("grp").sortWithinPartitions("grp", "node").select("grp", "node", "half", "least")
-    edges = write_and_read(_best(spread.mapInArrow(_introduce(width, 4 * block, 12), EDGES), degree), "edges")
+    edges = write_and_read(_best(spread.mapInArrow(_introduce(width, 4 * block, partners), EDGES), degree), "edges")
     for _ in range(rounds):
         back = Window.partitionBy("b").orderBy(F.xxhash64("a", "b"))
         reverse = edges.withColumn("_at", F.row_number().over(back)).where(F.col("_at") <= degree).select(F.col("b").alias("grp"), F.col("a").alias("node"))
@@ -198,7 +232,7 @@ def graph(table: DataFrame, degree: int = 40, rounds: int = 5, trees: int = 8, b
         pairs = around.distinct()
         met = pairs.repartition("grp").join(F.broadcast(known), "node") if small else pairs.join(known, "node").repartition("grp")
         met = met.select("grp", "node", "half", "least").sortWithinPartitions("grp")
-        new = met.mapInArrow(_introduce(width, 4 * degree, 6), EDGES)
+        new = met.mapInArrow(_introduce(width, 4 * degree, partners), EDGES)
         edges = write_and_read(_best(edges.unionByName(new), degree), "edges")
     return edges
 
@@ -225,16 +259,16 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, beam: int = 64, rou
     """
     table = nodes(vectors, k)
     small = _small(table, "vec")
-    edges = graph(table, degree, descents)
+    edges, count = graph(table, degree, descents, partners=k + 1), table.count()
     back = Window.partitionBy("b").orderBy(F.xxhash64("a", "b"))
     reverse = edges.withColumn("_at", F.row_number().over(back)).where(F.col("_at") <= degree).select(F.col("b").alias("a"), F.col("a").alias("b"))
-    links = write_and_read(edges.select("a", "b").unionByName(reverse).distinct(), "links")
+    links = write_and_read(edges.select("a", "b").unionByName(reverse).unionByName(_far_links(table, count)).distinct(), "links")
 
     valid = vectors.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<float>")).where(F.col("vec_id") % every == 0)
     asked = write_and_read(query_nodes(valid, table), "queries")
     wanted = write_and_read(asked.select("node").distinct().join(table.select("node", "vec"), "node"), "wanted")
 
-    state = write_and_read(_scored(wanted.select(F.col("node").alias("query"), "node"), table, wanted, small).withColumn("round", F.lit(0)), "state")
+    state = write_and_read(_scored(_entries(wanted, table, count), table, wanted, small).withColumn("round", F.lit(0)), "state")
     for turn in range(1, rounds + 1):
         best = Window.partitionBy("query").orderBy(F.desc("score"), "node")
         opened = state.where("round = 0").withColumn("_at", F.row_number().over(best)).where(F.col("_at") <= beam)

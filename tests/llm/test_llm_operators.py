@@ -383,6 +383,19 @@ def test_dense_blocks_are_cut_by_nearness_then_differently_in_each_tree(spark):
     assert len(met) > 1.5 * max(len(m) for m in members.values() if 2000 in m)
 
 
+@pytest.mark.parametrize(("groups", "every"), [(80, 4), (1, 1)])
+def test_tight_groups_smaller_than_an_answer_leave_no_query_short(spark, groups, every):
+    given, x = in_groups(spark, groups, 15, 1e-3)
+    found = {}
+    for r in neighbours.search(given, every=every).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    assert {q: len(v) for q, v in found.items()} == {q: min(20, len(x) - 1) for q in range(0, len(x), every)}
+    scores = x.astype(np.float64) @ x.astype(np.float64).T
+    np.fill_diagonal(scores, -np.inf)
+    near = np.argsort(-scores, axis=1)[:, : min(20, len(x) - 1)]
+    assert np.mean([len(v & set(near[q].tolist())) / len(near[q]) for q, v in found.items()]) > 0.9
+
+
 def test_packing_query_covers_all_documents(spark, sf_dir):
     found = op6_best_two_fit(spark, sf_dir)
     assert found.select("doc_id").distinct().count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
