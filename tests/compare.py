@@ -38,10 +38,7 @@ def differences(df, con, sql: str) -> list[str]:
         return [f"types: spark {found_types}, sql {expected_types}"]
     at = [[n for n, _ in names].index(c) for c in order]
     want = sorted((tuple(r[i] for i in at) for r in expected), key=key)
-    rows = df.select(*[f"`{c}`" for c in order]).toPandas()
-    got = sorted(
-        (tuple(None if v is None else v for v in r) for r in rows.astype(object).itertuples(index=False, name=None)), key=key
-    )
+    got = sorted((tuple(r) for r in df.select(*[f"`{c}`" for c in order]).collect()), key=key)
     if len(want) != len(got):
         return [f"rows: spark {len(got)}, sql {len(want)}"]
     bad = [(g, w) for g, w in zip(got, want) if g != w]
