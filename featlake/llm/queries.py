@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featlake.llm import decontaminate, html_text, language, near_dedup, neighbours, packing, substring_dedup, token_output, toxicity, warc
+from featlake.llm import (
+    decontaminate, html_text, language, lexical_search, merkle, near_dedup, neighbours, packing, quality_rules, sql, substring_dedup,
+    token_output, toxicity, warc,
+)
 from featlake.llm.common import held_out, table
 from featlake.llm.tokens import tokenizer_path
+from featlake.session import write_and_read
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +78,22 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored ledger under all policies; ``kept`` is the latest one's verdict."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality_rules.apply_policies(write_and_read(quality_rules.ledger(docs), "ledger"))
+    base_failed = ~quality_rules.passes(quality_rules.BASE)
+    return found.withColumn("base_failed", base_failed).withColumn("kept", F.col(f"kept_{quality_rules.LATEST}"))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_html_text": op2_html_text,
@@ -85,22 +105,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_matrices": op8_token_matrices,
     "op9_near_dedup": op9_near_dedup,
     "op10_language": op10_language,
+    "op11_merkle": op11_merkle,
+    "op12_quality": op12_quality,
+    "op13_lexical": op13_lexical,
 }
 
 #: SQL for the same rows, where SQL can express it.
 ORACLES: dict[str, str] = {
-    "op5_warc": """
-        WITH p AS (
-            SELECT page_id, coalesce(html, '') AS body, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
-                   sha256(coalesce(html, '')) AS payload_digest
-            FROM pages
-        ), f AS (
-            SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id
-            FROM p
-        )
-        SELECT page_id, payload_bytes, payload_digest,
-               CASE WHEN first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-               CASE WHEN first_id <> page_id THEN first_id END AS refers_to
-        FROM f
-    """,
+    "op5_warc": sql.WARC,
+    "op11_merkle": sql.MERKLE,
+    "op12_quality": sql.QUALITY,
+    "op13_lexical": sql.LEXICAL,
 }
