@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,6 +141,38 @@ def window_shuffle(
     )
 
 
+def shuffled_batches(
+    rows: DataFrame,
+    batch_size: int = 256,
+    buffer_batches: int = 20,
+    seed: int = 42,
+    batch: str = "batch",
+    place: Sequence[str] = ("block_index", "row_in_block"),
+) -> DataFrame:
+    """Rows that know their batch, shuffled inside windows of ``buffer_batches`` consecutive batches and cut anew.
+
+    Adds ``window_id`` and ``place``, the row's place in the shuffled window; ``batch`` becomes the
+    new batch inside the window. A row's window follows from its batch, so one exchange by window does all. The order is a
+    hash of (seed, place): a rerun or a recomputed task gives the same batches. With
+    ``buffer_batches <= 1`` a window is a batch and rows keep their order.
+    """
+    window_id = F.floor(F.col(batch) / max(1, buffer_batches)).cast("bigint")
+    order = [*([F.xxhash64(F.lit(seed), *place)] if buffer_batches > 1 else []), *place]
+    at = F.row_number().over(Window.partitionBy("window_id").orderBy(*order)) - 1
+    placed = rows.withColumn("window_id", window_id).withColumn("place", at.cast("int"))
+    return placed.withColumn(batch, F.floor(F.col("place") / batch_size).cast("int"))
+
+
+def write_shards(rows: DataFrame, n_shards: int, path: str, block: str = "block_index") -> None:
+    """Write rows that know their block as one folder per shard, block index modulo shards.
+
+    Rows are dealt out by block and not by shard: a shard is written by as many tasks as hold its
+    blocks, in files that hold whole blocks.
+    """
+    sharded = rows.withColumn("shard", F.pmod(block, F.lit(n_shards)).cast("int"))
+    sharded.repartition(block).sortWithinPartitions("shard", block).write.mode("overwrite").partitionBy("shard").parquet(path)
+
+
 def place_shards(df: DataFrame, shard: str, n_shards: int) -> DataFrame:
     """Put every shard into the partition of its own number, ready for one reader each."""
     return df.repartitionById(n_shards, F.col(shard))

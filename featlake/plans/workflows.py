@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from featlake.catalog import Catalog
 from featlake.operators import metrics, score
 from featlake.operators.clean import model_input
-from featlake.operators.split import split_sizes
+from featlake.operators.split import shuffled_batches, split_sizes
 from featlake.sources.catalog_json import read_catalog
-from featlake.sources.samples import read_blocks, read_samples, row_groups
+from featlake.sources.samples import block_list, read_blocks, read_samples
 from featlake.sources.sinks import write_predictions
 
 DEFAULT_SEQ_MAX_LENS = {"seq_a": 256, "seq_b": 256, "seq_c": 512, "seq_d": 512}
@@ -38,26 +38,27 @@ def training_data(
 ) -> tuple[DataFrame, DataFrame]:
     """(train, validation) model inputs, split by row groups, with a batch number per row.
 
-    Train rows also carry ``shuffle_order``: sorting a window by it gives the
-    shuffled order. It is a hash of (seed, block, row), so it costs no shuffle
-    and a rerun gives the same order. Validation rows keep file order.
+    Train rows are shuffled inside windows of ``buffer_batches`` batches: ``window_id``, ``place`` and ``batch`` say
+    where in the shuffled order a row stands, and ``shuffle_order`` is the hash of (seed, block, row) behind
+    it, so a rerun gives the same batches. Moving rows to their window is the only exchange. Validation rows keep file order.
+    Footers are read once.
     """
     if valid_from not in ("tail", "after_train"):
         raise ValueError(f"valid_from is {valid_from!r}: neither 'tail' nor 'after_train'")
-    n_blocks = row_groups(spark, path).count()
+    blocks = block_list(spark, path, batch_size)
+    n_blocks = blocks.agg(F.coalesce(F.sum("n_blocks"), F.lit(0))).first()[0]
     n_train, n_valid = split_sizes(n_blocks, valid_ratio, train_ratio)
     valid_start = n_blocks - n_valid if valid_from == "tail" else n_train
     lens = DEFAULT_SEQ_MAX_LENS if seq_max_lens is None else seq_max_lens
     keep = ["block_index", "row_in_block", "batch"]
 
     def prepared(start: int, end: int) -> DataFrame:
-        rows = read_blocks(spark, path, start, end, batch_size)
+        rows = read_blocks(spark, path, start, end, batch_size, blocks)
         return model_input(rows, catalog, lens, True, time_buckets, on_oob, keep)
 
     train, valid = prepared(0, n_train), prepared(valid_start, n_blocks)
     if buffer_batches > 1:
-        window = F.floor(F.col("batch") / buffer_batches)
-        train = train.withColumn("window_id", window).withColumn(
+        train = shuffled_batches(train, batch_size, buffer_batches, seed).withColumn(
             "shuffle_order", F.xxhash64(F.lit(seed), "block_index", "row_in_block")
         )
     return train, valid

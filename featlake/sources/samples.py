@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
+from urllib.parse import urlsplit
 
-import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from featlake.session import write_and_read
@@ -18,6 +20,9 @@ ROW_GROUP_SCHEMA = "file string, row_group int, n_rows bigint, first_row bigint"
 # A block list is sent to every task only below this size.
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
+#: Stores whose files a task opens without Spark.
+OPENED_BY_TASKS = ("file", "s3", "s3a", "s3n", "gs", "gcs", "hdfs", "abfs", "abfss")
+
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
     """One Parquet file, or all ``*.parquet`` files of a folder."""
@@ -37,111 +42,148 @@ def _parquet_files(spark: SparkSession, path: str) -> DataFrame:
 def row_groups(spark: SparkSession, path: str) -> DataFrame:
     """(file, row_group, n_rows, first_row) of every row group, from the footers.
 
-    The file listing is a DataFrame, so footers are read by the tasks in
-    parallel; file contents are never touched.
+    The file listing is a DataFrame, so footers are read by the tasks in parallel and
+    file contents aren't touched. Only in a store that the tasks can't open themselves
+    does Spark hand them whole files, and they look at the footers of those.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.parquet")
-        .load(path)
-        .select(F.col("_metadata.file_path").alias("file"))
-    )
-
-    def footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    named = files.select(F.col("_metadata.file_path").alias("file"))
+    first = named.first()
+    if first is None:
+        return spark.createDataFrame([], ROW_GROUP_SCHEMA)
+    opened = urlsplit(first["file"]).scheme in OPENED_BY_TASKS
+    given = named if opened else files.select(F.col("_metadata.file_path").alias("file"), "content")
+
+    def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file in batch["file"]:
-                filesystem, inner = pafs.FileSystem.from_uri(file)
-                with filesystem.open_input_file(inner) as handle:
-                    meta = pq.ParquetFile(handle).metadata
-                    sizes = [meta.row_group(i).num_rows for i in range(meta.num_row_groups)]
-                starts = [sum(sizes[:i]) for i in range(len(sizes))]
-                yield pd.DataFrame(
-                    {"file": file, "row_group": range(len(sizes)), "n_rows": sizes, "first_row": starts}
-                )
+            contents = [None] * batch.num_rows if opened else batch.column(1)
+            for file, content in zip(batch.column(0).to_pylist(), contents):
+                sizes = _group_sizes(file) if opened else _sizes(pq.ParquetFile(pa.BufferReader(content.as_buffer())))
+                starts = [0, *accumulate(sizes)][: len(sizes)]
+                columns = [
+                    pa.array([file] * len(sizes), pa.string()),
+                    pa.array(range(len(sizes)), pa.int32()),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(starts, pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["file", "row_group", "n_rows", "first_row"])
+
+    return given.mapInArrow(footers, ROW_GROUP_SCHEMA)
 
-    return files.mapInPandas(footers, ROW_GROUP_SCHEMA)
+
+def _group_sizes(uri: str) -> list[int]:
+    scheme, rest = uri.split(":", 1)
+    filesystem, inner = pafs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}:{rest}")
+    with filesystem.open_input_file(inner) as handle:
+        return _sizes(pq.ParquetFile(handle))
+
+
+def _sizes(file: pq.ParquetFile) -> list[int]:
+    return [file.metadata.row_group(i).num_rows for i in range(file.metadata.num_row_groups)]
 
 
 def file_blocks(groups: DataFrame, batch_size: int = 256) -> DataFrame:
     """Per file, in name order: where its row groups start, in rows, blocks and batches.
 
-    ``starts`` are first rows inside the file, ``batches`` the batches before
+    ``starts`` are first rows inside the file, ``sizes`` the rows and ``batches`` the batches before
     each row group inside the file; ``base`` and ``batch_base`` count the blocks
     and batches of the earlier files.
     """
     sized = groups.withColumn("n_batches", F.ceil(F.col("n_rows") / batch_size))
+    inside = Window.partitionBy("file").orderBy("first_row", "row_group").rowsBetween(Window.unboundedPreceding, -1)
+    sized = sized.withColumn("batches", F.coalesce(F.sum("n_batches").over(inside), F.lit(0)))
     listed = sized.groupBy("file").agg(
-        F.sort_array(F.collect_list(F.struct("first_row", "n_batches"))).alias("g"),
+        F.sort_array(F.collect_list(F.struct("first_row", "row_group", "n_rows", "batches"))).alias("g"),
         F.count(F.lit(1)).alias("n_blocks"),
         F.sum("n_batches").alias("file_batches"),
     )
-    before_each = F.transform(
-        F.col("g"),
-        lambda _, i: F.aggregate(
-            F.slice("g", F.lit(1), i), F.lit(0).cast("bigint"), lambda acc, g: acc + g["n_batches"]
-        ),
-    )
     # One row per file: as small as the file listing the driver already holds.
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     return listed.select(
         "file",
         F.col("g.first_row").alias("starts"),
-        before_each.alias("batches"),
+        F.col("g.n_rows").alias("sizes"),
+        F.col("g.batches").alias("batches"),
         "n_blocks",
         F.coalesce(F.sum("n_blocks").over(before), F.lit(0)).alias("base"),
         F.coalesce(F.sum("file_batches").over(before), F.lit(0)).alias("batch_base"),
     )
 
 
+def block_list(spark: SparkSession, path: str, batch_size: int = 256) -> DataFrame:
+    """The stored :func:`file_blocks` of a folder: its footers are read once, however often blocks are read."""
+    return write_and_read(file_blocks(row_groups(spark, path), batch_size), "file-blocks")
+
+
+def row_group_blocks(blocks: DataFrame) -> DataFrame:
+    """One row per row group of a :func:`block_list`: rows, first row in the file, block and batches before it."""
+    each = blocks.select("file", "base", "batch_base", F.posexplode(F.arrays_zip("starts", "sizes", "batches")).alias("row_group", "_g"))
+    return each.select(
+        "file",
+        "row_group",
+        F.col("_g.sizes").alias("n_rows"),
+        F.col("_g.starts").alias("first_row"),
+        (F.col("base") + F.col("row_group")).alias("block_index"),
+        (F.col("batch_base") + F.col("_g.batches")).alias("batches_before"),
+    )
+
+
 def read_blocks(
-    spark: SparkSession, path: str, start: int = 0, end: int | None = None, batch_size: int = 256
+    spark: SparkSession, path: str, start: int = 0, end: int | None = None, batch_size: int = 256, blocks: DataFrame | None = None
 ) -> DataFrame:
     """Sample rows of blocks ``[start, end)``, with ``block_index``, ``row_in_block`` and ``batch``.
 
     A block is a row group; blocks are numbered over the files in name order,
     and so are batches, which never span blocks. All three follow from a row's
-    file and its place in it, so batching needs no sort and no window. Files
-    wholly outside the range are cut off by a filter on their names.
+    file and its place in it, so batching needs no sort and no window. The range becomes
+    literals, (file, row) of its first and last row: files outside it aren't opened, and rows outside it
+    don't reach the join.
 
-    The block list is stored once and sent to every task while it is below
+    ``blocks`` is a :func:`block_list` with the same batch size. It is sent to every task while it is below
     MAX_BROADCAST_BYTES (some three million row groups), so sample rows are not shuffled.
     """
-    blocks = write_and_read(file_blocks(row_groups(spark, path), batch_size), "file-blocks")
-    rows = read_samples(spark, path).select(
-        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")
-    )
+    blocks = block_list(spark, path, batch_size) if blocks is None else blocks
+    rows = read_samples(spark, path)
     if start > 0 or end is not None:
-        inside = F.col("base") + F.col("n_blocks") > start
-        if end is not None:
-            inside = inside & (F.col("base") < end)
-        span = blocks.filter(inside).agg(F.min("file"), F.max("file")).first()
-        if span[0] is None:
-            return _placed(rows.limit(0), blocks, batch_size)
-        rows = rows.filter(F.col("_metadata.file_path").between(span[0], span[1]))
-    placed = _placed(rows, blocks, batch_size)
-    if start > 0:
-        placed = placed.filter(F.col("block_index") >= start)
-    return placed if end is None else placed.filter(F.col("block_index") < end)
+        inside = _range_filter(blocks, start, end)
+        rows = rows.limit(0) if inside is None else rows.filter(inside)
+    rows = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return _placed(rows, blocks, batch_size)
+
+
+def _range_filter(blocks: DataFrame, start: int, end: int | None) -> Column | None:
+    """Rows of blocks ``[start, end)`` by file and place; None when there are none."""
+    edges = [start] if end is None else [start, end - 1]
+    if end is not None and end <= start:
+        return None
+    found = row_group_blocks(blocks).filter(F.col("block_index").isin(edges)).collect()  # two rows at most
+    at = {row["block_index"]: row for row in found}
+    if start not in at:
+        return None
+    file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    low = at[start]
+    inside = (file >= low["file"]) & ((file > low["file"]) | (row >= low["first_row"]))
+    if end is not None and end - 1 in at:
+        high = at[end - 1]
+        inside &= (file <= high["file"]) & ((file < high["file"]) | (row < high["first_row"] + high["n_rows"]))
+    return inside
 
 
 def _placed(rows: DataFrame, blocks: DataFrame, batch_size: int) -> DataFrame:
-    nth = F.array_size(F.filter("starts", lambda s: s <= F.col("_row"))) - 1
     columns = [c for c in rows.columns if c not in ("_file", "_row")]
-    n_files, n_blocks = blocks.agg(F.count("*"), F.sum("n_blocks")).first()
-    if 200 * n_files + 16 * (n_blocks or 0) <= MAX_BROADCAST_BYTES:
-        blocks = F.broadcast(blocks)
-    return (
-        rows.join(blocks, rows["_file"] == blocks["file"])
-        .withColumn("_nth", nth)
-        .withColumn("row_in_block", F.col("_row") - F.get("starts", F.col("_nth")))
-        .select(
-            *columns,
-            (F.col("base") + F.col("_nth")).alias("block_index"),
-            "row_in_block",
-            (
-                F.col("batch_base")
-                + F.get("batches", F.col("_nth"))
-                + F.floor(F.col("row_in_block") / batch_size)
-            ).alias("batch"),
-        )
+    n_files, n_blocks, most = blocks.agg(F.count("*"), F.sum("n_blocks"), F.max("n_blocks")).first()
+    named = blocks.select(*[F.col(c).alias(f"_b_{c}") for c in ("file", "starts", "batches", "base", "batch_base")])
+    if 200 * n_files + 24 * (n_blocks or 0) <= MAX_BROADCAST_BYTES:
+        named = F.broadcast(named)
+    placed = rows.join(named, rows["_file"] == named["_b_file"]).withColumn("_nth", F.lit(0))
+    # The row's group in its file, by halving: as many steps as the largest number of groups has binary digits.
+    for digit in reversed(range((most or 0).bit_length())):
+        ahead = F.col("_nth") + (1 << digit)
+        placed = placed.withColumn("_nth", F.when(F.get("_b_starts", ahead) <= F.col("_row"), ahead).otherwise(F.col("_nth")))
+    placed = placed.withColumn("_place", F.col("_row") - F.get("_b_starts", F.col("_nth")))
+    return placed.select(
+        *columns,
+        (F.col("_b_base") + F.col("_nth")).alias("block_index"),
+        F.col("_place").alias("row_in_block"),
+        (F.col("_b_batch_base") + F.get("_b_batches", F.col("_nth")) + F.floor(F.col("_place") / batch_size)).alias("batch"),
     )

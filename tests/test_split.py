@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from featlake.operators import split
 from featlake.plans import QUERIES
 from featlake.plans.workflows import DEFAULT_SEQ_MAX_LENS, load_catalog, prediction_data, training_data
-from featlake.sources.samples import file_blocks, read_blocks, read_samples, row_groups
+from featlake.sources import samples
+from featlake.sources.samples import block_list, file_blocks, read_blocks, read_samples, row_group_blocks, row_groups
 
 
 @pytest.mark.parametrize("n, ratio, train, expected", [
@@ -153,3 +154,60 @@ def test_training_data(spark, folder):
     test = prediction_data(spark, folder, catalog)
     assert test.count() == 72 and test.agg(F.max("label")).first()[0] == 0
     assert DEFAULT_SEQ_MAX_LENS == {"seq_a": 256, "seq_b": 256, "seq_c": 512, "seq_d": 512}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_block_range_is_a_filter_and_blocks_need_no_shuffle(spark, folder):
+    blocks = block_list(spark, folder, 4)
+    part = read_blocks(spark, folder, 2, 5, 4, blocks)
+    plan = plan_of(part)
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    got = sorted((r["block_index"], r["row_in_block"]) for r in part.collect())
+    assert got == [(2, i) for i in range(10)] + [(3, i) for i in range(5)] + [(4, i) for i in range(20)]
+    assert read_blocks(spark, folder, 3, 3).count() == 0
+    assert read_blocks(spark, folder, 5, None, 4, blocks).count() == 20
+    rows = {(r["file"].rsplit("/", 1)[1], r["row_group"]): (r["block_index"], r["batches_before"]) for r in row_group_blocks(blocks).collect()}
+    assert rows["b.parquet", 2] == (3, 2 + 6) and rows["c.parquet", 1] == (5, 2 + 3 + 3 + 2 + 5)
+
+
+def test_footers_of_a_store_that_only_spark_opens(spark, folder, monkeypatch):
+    expected = sorted(map(tuple, row_groups(spark, folder).collect()))
+    monkeypatch.setattr(samples, "OPENED_BY_TASKS", ())
+    assert sorted(map(tuple, row_groups(spark, folder).collect())) == expected
+
+
+def test_shuffled_batches_take_one_exchange(spark, folder):
+    rows = read_blocks(spark, folder, batch_size=4)
+    shuffled = split.shuffled_batches(rows, 4, 3, seed=1)
+    assert plan_of(shuffled).count("Exchange hashpartitioning") == 1
+    before = {r["id"]: r["batch"] for r in rows.collect()}
+    found = shuffled.collect()
+    assert sorted(map(str, found)) == sorted(map(str, split.shuffled_batches(rows, 4, 3, seed=1).collect()))
+    assert all(r["window_id"] == before[r["id"]] // 3 and r["batch"] == r["place"] // 4 for r in found)
+    windows = {}
+    for r in found:
+        windows.setdefault(r["window_id"], []).append((r["place"], r["id"]))
+    assert all([p for p, _ in sorted(w)] == list(range(len(w))) for w in windows.values())
+    assert any([i for _, i in sorted(w)] != sorted(i for _, i in w) for w in windows.values())
+    in_order = split.shuffled_batches(rows, 4, 1).collect()
+    assert all(r["window_id"] == before[r["id"]] and r["place"] == r["row_in_block"] % 4 for r in in_order)
+
+
+def test_training_batches_are_cut_after_the_shuffle(spark, folder):
+    catalog = load_catalog(spark, f"{folder}/schema.json")
+    train, _ = training_data(spark, folder, catalog, batch_size=4, valid_ratio=0.34, buffer_batches=2)
+    sizes = train.groupBy("window_id", "batch").count().collect()
+    assert max(r["count"] for r in sizes) == 4 and {r["batch"] for r in sizes} == {0, 1}
+    order = train.orderBy("window_id", "place").select("window_id", "shuffle_order").collect()
+    assert order == sorted(order)
+
+
+def test_shards_are_written_whole(spark, folder, tmp_path):
+    out = str(tmp_path / "shards")
+    for _ in range(2):  # a rerun replaces the first
+        split.write_shards(read_blocks(spark, folder), 4, out)
+    got = spark.read.parquet(out).groupBy("shard", "block_index").count().collect()
+    assert {(r["shard"], r["block_index"]): r["count"] for r in got} == {(0, 0): 7, (1, 1): 10, (2, 2): 10, (3, 3): 5, (0, 4): 20, (1, 5): 20}
