@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +24,7 @@ from featlake.operators.ordering import (
     MAX_GROUP_ROWS,
     bounded_groups,
     carry_over,
+    numbered,
     running_totals,
     select_first,
     value_bins,
@@ -158,9 +158,13 @@ def epoch_loss(df: DataFrame, loss: str, batch_keys: Sequence[str]) -> DataFrame
 
 
 def hard_examples(df: DataFrame, score: str, label: str, key: str, ratio: float) -> DataFrame:
-    """The ``int(rows * ratio)`` rows whose score is farthest from the label; ties by key."""
-    errors = df.withColumn("error", F.abs(F.col(score) - F.col(label)))
-    return select_first(errors, lambda n_rows: int(n_rows * ratio), [("error", True), (key, False)])
+    """The ``int(rows * ratio)`` rows whose score is farthest from the label; ties by key.
+
+    A row without an error, as its score or label is null or NaN, counts as a row but comes after all others.
+    """
+    error = F.abs(F.col(score) - F.col(label))
+    known = df.withColumn("error", error).withColumn("_hard", F.coalesce(F.when(not_nan("error"), F.col("error")), F.lit(-1.0)))
+    return select_first(known, lambda n_rows: int(n_rows * ratio), [("_hard", True), (key, False)]).drop("_hard")
 
 
 def last_wins(predictions: DataFrame, user: str, prob: str, order: str) -> DataFrame:
@@ -229,7 +233,7 @@ def early_stop(
         raise ValueError(f"delta is {delta}, less than 0")
     seen, split = _records(history, run, step, score, max_rows)
     if delta > 0:
-        return _stop_with_delta(seen, run, step, score, patience, delta)
+        return _stop_with_delta(seen, run, step, score, patience, delta, max_rows)
     here = Window.partitionBy(run, CHUNK).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
     record = F.when(F.col("_record"), F.struct("_pos", F.col(score).alias("score"), F.col(step).alias("step")))
     last = seen.withColumn("_rec", record).withColumn("_last", F.max("_rec").over(here))
@@ -271,45 +275,52 @@ def _records(history: DataFrame, run: str, step: str, score: str, max_rows: int)
     return rows.withColumn("_record", record).select(run, step, score, CHUNK, "_pos", "_record"), split
 
 
-def _stop_with_delta(seen: DataFrame, run: str, step: str, score: str, patience: int, delta: float) -> DataFrame:
-    """Early stop with a minimum improvement.
+def _stop_with_delta(
+    seen: DataFrame, run: str, step: str, score: str, patience: int, delta: float, max_rows: int
+) -> DataFrame:
+    """Early stop with a minimum improvement, as a fold over the rows that beat all earlier ones.
 
-    Only a score above all earlier ones can improve, so the fold reads those
-    rows and one end row per run. It streams them in order and holds nothing
-    but the current best.
+    Only those can improve. They are listed per run in pieces of up to ``max_rows``, and the state a piece
+    leaves (best score and its step and place, place of the stop) is what the next one starts
+    from. One piece a run is the rule; further ones are folded one after the other, all runs at once.
     """
-    ends = seen.groupBy(run).agg((F.max("_pos") + 1).alias("_pos"))
-    rows = (
-        seen.filter("_record")
-        .select(run, F.col(step).cast("bigint").alias("step"), F.col(score).cast("double").alias("score"), "_pos", F.lit(False).alias("_end"))
-        .unionByName(
-            ends.select(run, F.lit(None).cast("bigint").alias("step"), F.lit(None).cast("double").alias("score"), "_pos", F.lit(True).alias("_end"))
+    records = numbered(seen.filter("_record").select(run, step, score, "_pos"), [run], ["_pos"], "_nth", max_rows)
+    item = F.struct("_pos", F.col(score).cast("double").alias("score"), F.col(step).alias("step"))
+    pieces = records.groupBy(run, F.floor(F.col("_nth") / max_rows).alias("_piece")).agg(F.sort_array(F.collect_list(item)).alias("_items"))
+    pieces = write_and_read(pieces, "stop-pieces")
+    kind = f"struct<score:double,step:{seen.schema[step].dataType.simpleString()},pos:bigint,stop:bigint>"
+
+    def state(at: Column, value: Column, pos: Column, stop: Column) -> Column:
+        return F.struct(value.alias("score"), at.alias("step"), pos.alias("pos"), stop.cast("bigint").alias("stop")).cast(kind)
+
+    def fold(best: Column, x: Column) -> Column:
+        lapsed = x["_pos"] - best["pos"] > patience
+        return (
+            F.when(best["pos"].isNull(), state(x["step"], x["score"], x["_pos"], F.lit(None)))
+            .when(best["stop"].isNotNull(), best)
+            .when(lapsed, state(best["step"], best["score"], best["pos"], best["pos"] + patience))
+            .when(x["score"] > best["score"] + delta, state(x["step"], x["score"], x["_pos"], F.lit(None)))
+            .otherwise(best)
         )
+
+    empty = state(F.lit(None), F.lit(None), F.lit(None), F.lit(None))
+    high = pieces.agg(F.max("_piece")).first()[0] or 0
+    best = pieces.filter("_piece = 0").select(run, F.aggregate("_items", empty, fold).alias("_best"))
+    for piece in range(1, high + 1):
+        more = pieces.filter(F.col("_piece") == piece).select(F.col(run).alias("_run"), "_items")
+        on = best[run].eqNullSafe(more["_run"])
+        folded = F.when(F.col("_items").isNull(), F.col("_best")).otherwise(F.aggregate("_items", F.col("_best"), fold))
+        best = write_and_read(best.join(more, on, "left").select(run, folded.alias("_best")), "stop-state")
+
+    ends = seen.groupBy(F.col(run).alias("_run")).agg(F.max("_pos").alias("_n"))
+    stop = F.coalesce("_best.stop", F.when(F.col("_n") - F.col("_best.pos") >= patience, F.col("_best.pos") + patience))
+    known = best.join(ends, best[run].eqNullSafe(ends["_run"])).select(run, "_best", "_n", stop.alias("_stop"))
+    at_stop = seen.select(F.col(run).alias("_run"), F.col("_pos").alias("_at"), F.col(step).alias("stop_step"))
+    on = known[run].eqNullSafe(at_stop["_run"]) & (known["_stop"] == at_stop["_at"])
+    return known.join(at_stop, on, "left").select(
+        run,
+        F.col("_best.score").alias("best_score"),
+        F.col("_best.step").alias("best_step"),
+        "stop_step",
+        F.coalesce("_stop", "_n").alias("n_evaluations"),
     )
-    run_type = seen.schema[run].dataType.simpleString()
-    result = f"`{run}` {run_type}, best_score double, best_step bigint, stop_pos bigint, n_evaluations bigint"
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
-        for batch in batches:
-            done = []
-            for name, at, value, pos, end in batch.itertuples(index=False):
-                if best is not None and best["stop"] is None and pos - best["pos"] > patience:
-                    best["stop"] = best["pos"] + patience
-                if end:
-                    n = pos - 1 if best["stop"] is None else best["stop"]
-                    done.append((name, best["score"], best["step"], best["stop"], n))
-                    best = None
-                elif best is None:
-                    best = {"score": value, "step": at, "pos": pos, "stop": None}
-                elif best["stop"] is None and value > best["score"] + delta:
-                    best.update(score=value, step=at, pos=pos)
-            if done:
-                frame = pd.DataFrame(done, columns=[run, "best_score", "best_step", "stop_pos", "n_evaluations"])
-                yield frame.astype({"best_step": "Int64", "stop_pos": "Int64", "n_evaluations": "Int64"})
-
-    ordered = rows.repartition(run).sortWithinPartitions(run, "_pos")
-    folded = ordered.mapInPandas(fold, result)
-    at_stop = seen.select(F.col(run).alias("_run"), F.col("_pos").alias("stop_at"), F.col(step).alias("stop_step"))
-    on = folded[run].eqNullSafe(at_stop["_run"]) & (folded["stop_pos"] == at_stop["stop_at"])
-    return folded.join(at_stop, on, "left").select(run, "best_score", "best_step", "stop_step", "n_evaluations")

@@ -7,6 +7,8 @@ cost nothing extra beyond a count when no key does.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -20,7 +22,11 @@ from featlake.session import write_and_read
 MAX_GROUP_ROWS = 1_000_000
 # Hot keys up to this many are sent to every task; more are joined by shuffle.
 MAX_BROADCAST_KEYS = 100_000
-MAX_BINS = 32768
+
+# Bins that a column is cut into, and the size parameter of the sketch behind them: its rank error is about a
+# thousandth of the rows, below the share of a bin.
+N_BINS = 512
+SKETCH_SIZE = 4096
 
 CHUNK = "_chunk"
 CONTEXT = "_context"
@@ -144,24 +150,30 @@ def numbered(
     return rows.select(*df.columns, name)
 
 
-def value_bins(df: DataFrame, column: str, n_bins: int | None = None, name: str = "_bin") -> DataFrame:
+def value_bins(df: DataFrame, column: str, n_bins: int = N_BINS, name: str = "_bin") -> DataFrame:
     """Cut a numeric column into ranges that hold about equally many rows.
 
-    The edges come from approximate quantiles and are constants of the plan, so
+    The edges come from a sketch of fixed size that tasks merge, and are constants of the plan, so
     a recomputed task bins exactly as before. They only decide balance, never
-    results: equal values always share a bin and bins ascend with the values.
+    results: equal values always share a bin and bins ascend with the values. A value that fills
+    several bins by itself has one of its own, so cutting a bin again always parts its values. Null and NaN
+    come last.
     """
-    if n_bins is None:
-        n_bins = min(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_BINS)
-    numeric = df.select(F.col(column).cast("double").alias("v"))
-    edges = sorted(set(numeric.approxQuantile("v", [i / n_bins for i in range(1, n_bins)], 0.5 / n_bins)))
-    if not edges:
+    numeric = F.col(column).cast("double")
+    ranks = F.lit([i / n_bins for i in range(1, n_bins)])
+    sketch = F.kll_sketch_agg_double(F.when(~F.isnan(numeric), numeric), F.lit(SKETCH_SIZE)).alias("s")
+    row = df.agg(sketch, F.count_if(~F.isnan(numeric)).alias("n")).select(
+        F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("s", ranks)).alias("edges")
+    )
+    found = Counter(row.first()["edges"] or [])
+    edges = sorted({*found, *(math.nextafter(v, math.inf) for v, times in found.items() if times > 1)})
+    splits = [e for e in edges if not math.isinf(e)]
+    if not splits:
         return df.withColumn(name, F.lit(0))
-    splits = [float("-inf"), *edges, float("inf")]
     as_double = f"{name}_value"
-    binned = Bucketizer(splits=splits, inputCol=as_double, outputCol=name, handleInvalid="keep").transform(
-        df.withColumn(as_double, F.col(column).cast("double"))
-    )
+    binned = Bucketizer(
+        splits=[-math.inf, *splits, math.inf], inputCol=as_double, outputCol=name, handleInvalid="keep"
+    ).transform(df.withColumn(as_double, numeric))
     return binned.withColumn(name, F.col(name).cast("int")).drop(as_double)
 
 
@@ -205,19 +217,23 @@ def select_first(df: DataFrame, take: Callable[[int], int], order: Sequence[tupl
 
 
 def _cut(
-    rows: DataFrame, column: str, descending: bool, take: Callable[[int], int]
+    rows: DataFrame,
+    column: str,
+    descending: bool,
+    take: Callable[[int], int],
+    whole: bool = True,
 ) -> tuple[int, int, tuple[float, int, int] | None]:
     """(n, number of rows, (value of the n-th row, rows before that value, rows equal to it)).
 
     Counts per bin lead to the one bin that holds the n-th row; a bin still too
-    large for one task is cut into bins again.
+    large for one task is cut into bins again, also where all of it is taken (``whole`` is False then).
     """
     binned = value_bins(rows, column)
     # At most one row per bin reaches the driver.
     sizes = binned.groupBy("_bin").agg(F.count(F.lit(1)).alias("n")).collect()
     total = sum(row["n"] for row in sizes)
     n = take(total)
-    if n <= 0 or n >= total:
+    if n <= 0 or (whole and n >= total):
         return n, total, None
     before = 0
     for row in sorted(sizes, key=lambda r: r["_bin"], reverse=descending):
@@ -226,10 +242,10 @@ def _cut(
         before += row["n"]
     here = binned.filter(F.col("_bin") == row["_bin"]).select(column)
     inside = n - before
-    if len(sizes) > 1 and row["n"] > MAX_GROUP_ROWS and inside < row["n"]:
-        _, _, (value, earlier, ties) = _cut(here, column, descending, lambda _: inside)
+    if len(sizes) > 1 and row["n"] > MAX_GROUP_ROWS:
+        _, _, (value, earlier, ties) = _cut(here, column, descending, lambda _: inside, False)
         return n, total, (value, before + earlier, ties)
-    # One row per distinct value is left after counting.
+    # One row per distinct value is left after counting: a bin that can't be cut further holds one value.
     order = F.col(column).desc() if descending else F.col(column).asc()
     upto = F.sum("n").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     counts = here.groupBy(column).agg(F.count(F.lit(1)).alias("n")).withColumn("upto", upto)

@@ -188,3 +188,35 @@ def test_outside_model(spark):
     df = spark.createDataFrame([(1, 0.5), (2, 1.5)], "id bigint, x double")
     out = score.score_with(df, lambda batch: 1 / (1 + (-batch["x"]).map(math.exp)), ["id"]).collect()
     assert {r["id"]: round(r["prob"], 4) for r in out} == {1: 0.6225, 2: 0.8176}
+
+
+def test_early_stop_with_delta_folds_pieces_in_the_jvm(spark):
+    """One run of rising scores in several pieces, next to short runs and one that never improves."""
+    rows = [("long", i, 0.01 * i + (0.5 if i % 7 == 0 else 0)) for i in range(40)]
+    rows += [("flat", i, 1.0) for i in range(9)] + [(None, 0, 0.3), (None, 1, 0.9)] + [("one", 5, 0.1)]
+    df = spark.createDataFrame(rows, "run string, step bigint, score double").repartition(4)
+
+    def brute(scores, patience, delta):
+        best, at, step = None, 0, None
+        for pos, (s, v) in enumerate(scores, 1):
+            if best is None or v > best + delta:
+                best, at, step = v, pos, s
+            elif pos - at >= patience:
+                return best, step, s, pos
+        return best, step, None, len(scores)
+
+    by_run = {}
+    for run, step, value in rows:
+        by_run.setdefault(run, []).append((step, value))
+    for patience, delta in ((3, 0.02), (8, 0.055), (50, 0.2)):
+        stops = metrics.early_stop(df, "run", "step", "score", patience, delta, max_rows=15)
+        assert "Python" not in stops._jdf.queryExecution().executedPlan().toString()
+        assert {r[0]: tuple(r)[1:] for r in stops.collect()} == {run: brute(s, patience, delta) for run, s in by_run.items()}
+
+
+def test_hard_examples_without_a_score_come_last(spark):
+    rows = [(1, 0.9, 0), (2, None, 1), (3, float("nan"), 0), (4, 0.2, 0), (5, 0.5, None), (6, 0.7, 1)]
+    df = spark.createDataFrame(rows, "id bigint, p double, y int")
+    order = [{r["id"] for r in metrics.hard_examples(df, "p", "y", "id", k / 6).collect()} for k in range(7)]
+    assert order == [set(), {1}, {1, 6}, {1, 4, 6}, {1, 2, 4, 6}, {1, 2, 3, 4, 6}, {1, 2, 3, 4, 5, 6}]
+    assert metrics.hard_examples(df.select("id", F.lit(None).cast("double").alias("p"), "y"), "p", "y", "id", 0.5).count() == 3

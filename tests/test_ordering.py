@@ -95,3 +95,20 @@ def test_first_k_limits_before_the_shuffle(skewed):
     plan = ranked._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
     assert ranked.groupBy("key").count().agg(F.max("count")).first()[0] == 3
+
+
+def test_a_value_that_fills_several_bins_has_its_own(spark):
+    rows = [(k, 5.0) for k in range(900)] + [(1000 + k, 5.0 + k) for k in range(1, 60)] + [(2000 + k, -float(k)) for k in range(1, 41)]
+    df = spark.createDataFrame(rows, "id bigint, v double")
+    bins = {}
+    for r in ordering.value_bins(df, "v", 16).collect():
+        bins.setdefault(r["_bin"], set()).add(r["v"])
+    assert {5.0} in bins.values() and len(bins) >= 3
+
+
+def test_select_first_cuts_a_bin_that_is_taken_whole(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "MAX_GROUP_ROWS", 3)
+    df = spark.createDataFrame([(k, float(k)) for k in range(64)] + [(100 + k, 63.0) for k in range(50)], "id bigint, v double")
+    for n in (1, 7, 32, 63, 64, 80, 113):
+        got = sorted(r["id"] for r in ordering.select_first(df, lambda _: n, [("v", False), ("id", False)]).collect())
+        assert got == [*range(64), *range(100, 150)][:n]
