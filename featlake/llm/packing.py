@@ -36,7 +36,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) ->
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         doc, number, start, length, crc = [], [], [], [], []
         encode = encoder(path, end_id, "<u4")
-        for doc_id, raw in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
+        for doc_id, raw in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
             for at in range(0, len(raw), 4 * capacity):
                 part = raw[at : at + 4 * capacity]
                 doc.append(doc_id)

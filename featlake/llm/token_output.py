@@ -117,7 +117,7 @@ def packed_rows(
 
         for batch in batches:
             for part in slices(batch):
-                for doc, raw in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
+                for doc, raw in zip(part.column(0).to_pylist(), encode(part.column(1))):
                     parts += [(doc, at // size, raw[at : at + size * capacity]) for at in range(0, len(raw), size * capacity)]
                     held += len(raw) // size
                 if held >= block_tokens:

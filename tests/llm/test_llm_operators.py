@@ -18,6 +18,7 @@ from featlake.llm import (
     packing,
     substring_dedup,
     token_output,
+    tokens,
     toxicity,
     warc,
 )
@@ -42,6 +43,19 @@ def test_chunked_encoding_equals_the_tokenizer(texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in found] == reference_ids(texts.values())
 
 
+def test_encoding_beyond_the_remembered_words_and_of_odd_chunks(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 5)
+    texts = [
+        "  lead trail \t", "A1b2'S don't WE'LL x'll''", "(été)ÀÉ×÷ß ÿŸ", "\xa0 \u2003wide\u2028 \x1c \x85", "<|x|> <|startoftext|>a", "０１ ２x 日本", "a" * 5000,
+        None, "", " ", "...!!?? -- a-b_c", "\u212aelvin İx ﬁ e\u0301",
+    ]
+    encode = Encoder(tokenizer_path())
+    for _ in range(2):
+        for some in (texts, texts[::-1], [], texts * 3):
+            assert [np.frombuffer(x, "<u4").tolist() for x in encode(some)] == reference_ids(some)
+    assert len(encode.known) == 5
+
+
 def test_best_two_fit_places_every_piece(spark, docs, texts, empty):
     rows = packing.pack_documents(docs, tokenizer_path()).collect()
     expected = {}
