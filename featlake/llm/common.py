@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,23 @@ class Words(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts one after the other, and where each text's begin, with the end.
+
+    Words lie between ASCII white space, with A-Z lowered on demand; a null text has none. Distinct words are numbered in Arrow and
+    hashed once a batch, so nothing is remembered between batches.
+    """
+    filled = pc.fill_null(texts, "")
+    split = pc.ascii_split_whitespace(pc.ascii_lower(filled) if lower else filled)
+    words = split.flatten().dictionary_encode()
+    distinct = words.dictionary.to_numpy(zero_copy_only=False)
+    numbers = words.indices.to_numpy()
+    there = np.array([len(w) > 0 for w in distinct], bool)[numbers]  # space at an end leaves an empty word
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
+    ends = np.append(0, np.cumsum(split.value_lengths().to_numpy()))
+    return hashes[numbers[there]], np.append(0, np.cumsum(there))[ends]
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of unsigned 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * MIX_2

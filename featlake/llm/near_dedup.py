@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from featlake.llm.common import MIX_1, Words, bitmap_of, by_arrow, chained, in_bitmap, int_lists, mixed
+from featlake.llm.common import MIX_1, bitmap_of, by_arrow, chained, in_bitmap, int_lists, mixed, word_hashes
 from featlake.llm.components import components
 from featlake.session import write_and_read
 
@@ -47,15 +47,15 @@ ROUNDS = 1
 ID_BITS = 1 << 26
 
 
-def shingles(text: str | None, length: int, words: Words) -> np.ndarray:
-    """Sorted distinct shingle hashes: A-Z lowered, ASCII white space between words.
+def shingles(texts: pa.Array, length: int) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle hashes of each text: A-Z lowered, ASCII white space between words.
 
     A text of fewer words is one shingle of all of them; one without words has none.
     """
-    found = words.of((text or "").encode().lower().split())
-    if not len(found):
-        return found
-    return np.unique(chained(found, min(length, len(found))))
+    hashes, bounds = word_hashes(texts, lower=True)
+    for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        found = hashes[start:end]
+        yield np.unique(chained(found, min(length, len(found)))) if len(found) else found
 
 
 def sketch(elements: np.ndarray) -> np.ndarray:
@@ -96,13 +96,11 @@ def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarra
 
 def sketches(docs: DataFrame, length: int) -> DataFrame:
     """doc_id, set size, set key, registers and band values of every row, in one pass."""
-    words = Words()
     bands = REGISTERS // BAND
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, keys, registers = [], [], []
-        for text in batch.column(1).to_pylist():
-            found = shingles(text, length, words)
+        for found in shingles(batch.column(1), length):
             sizes.append(len(found))
             keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
             registers.append(sketch(found))
@@ -144,15 +142,13 @@ def _likely(pairs: DataFrame, threshold: float) -> DataFrame:
 
 def _verified(docs: DataFrame, pairs: DataFrame, length: int, percent: int) -> DataFrame:
     """The pairs that are links on the full sets; sets are built for documents in pairs only."""
-    words = Words()
     slot = lambda name: F.pmod(F.xxhash64(name), F.lit(ID_BITS))
     wanted = bitmap_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), slot("id"), ID_BITS)
     sent = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def full_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         batch = batch.filter(pa.array(in_bitmap(sent.value, batch.column("slot").to_numpy())))
-        found = [shingles(t, length, words) for t in batch.column(1).to_pylist()]
-        lists = [x.tobytes() for x in found]
+        lists = [x.tobytes() for x in shingles(batch.column(1), length)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.binary())], ["doc_id", "found"])
 
     keyed = docs.select(F.col("doc_id").cast("bigint"), "text", slot(F.col("doc_id").cast("bigint")).alias("slot"))

@@ -33,6 +33,9 @@ BROADCAST_BYTES = 32 << 20
 #: Hyperplanes kept for blocks that are too large, and how often blocks are counted and cut by some of them.
 MORE_BITS, CUTS = 24, 4
 
+#: Cells that are too large are sent to the tasks up to this many; more meet their nodes by a shuffle.
+MOST_SENT = 200_000
+
 #: Groups by a hash, of about so many nodes, in which each node has links to all others.
 FAR_GROUPS, FAR = 2, 4
 
@@ -101,7 +104,7 @@ def _introduce(width: int, most: int, best: int) -> Callable[[Iterator[pa.Record
 
         for rows in _groups(batches, most):
             ids = np.array([r[1] for r in rows], np.int64)
-            x = np.frombuffer(b"".join(r[2] for r in rows), np.float16).reshape(-1, width).astype(np.float32)
+            x = np.frombuffer(b"".join(r[2] for r in rows), np.float32).reshape(-1, width)
             least = np.array([r[3] for r in rows], np.float32)
             scores = x @ x.T
             scores[ids[:, None] == ids[None, :]] = -np.inf
@@ -118,16 +121,6 @@ def _introduce(width: int, most: int, best: int) -> Callable[[Iterator[pa.Record
     return run
 
 
-def _halved(table: DataFrame) -> DataFrame:
-    """Vectors in half precision, which is enough to build a graph."""
-
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        half = [np.frombuffer(x, np.float32).astype(np.float16).tobytes() for x in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(half, pa.binary())], ["node", "half"])
-
-    return write_and_read(by_arrow(table.select("node", "vec"), "node bigint, half binary", step), "halves")
-
-
 def _small(table: DataFrame, column: str) -> bool:
     """Whether all values of a binary column fit into BROADCAST_BYTES, counted now."""
     size = table.agg(F.sum(F.octet_length(column) + 64)).first()[0]
@@ -140,8 +133,8 @@ def _best(edges: DataFrame, degree: int) -> DataFrame:
     return once.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= degree).drop("_at")
 
 
-def _blocks(halves: DataFrame, count: int, width: int, trees: int, block: int, seed: int) -> DataFrame:
-    """(grp, node, half): each node once for each tree, in blocks of about ``block`` and under 4 * ``block`` nodes.
+def _blocks(given: DataFrame, count: int, width: int, trees: int, block: int, seed: int) -> DataFrame:
+    """(grp, node, vec): each node once for each tree, in blocks of about ``block`` and under 4 * ``block`` nodes.
 
     Blocks are counted. One of over 2 * ``block`` nodes is cut by as many further hyperplanes as would
     bring it to ``block``, CUTS times at most; what is too large then, such as vectors that
@@ -153,34 +146,31 @@ def _blocks(halves: DataFrame, count: int, width: int, trees: int, block: int, s
     weights = 1 << np.arange(bits + more - 1, -1, -1, dtype=np.int64)
 
     def dealt(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float16).reshape(-1, width).astype(np.float32)
+        x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, width)
         codes = (x @ planes > 0).reshape(len(x), trees, -1) @ weights
-        return pa.RecordBatch.from_arrays([*batch.columns, int_lists(codes.ravel(), [trees] * len(x), pa.int64())], ["node", "half", "codes"])
+        return pa.RecordBatch.from_arrays([batch.column(0), int_lists(codes.ravel(), [trees] * len(x), pa.int64())], ["node", "codes"])
 
-    coded = write_and_read(by_arrow(halves, "node bigint, half binary, codes array<bigint>", dealt), "codes")
+    coded = by_arrow(given, "node bigint, codes array<bigint>", dealt)
+    placed = coded.select("node", F.posexplode("codes").alias("tree", "code")).withColumns({"depth": F.lit(0), "pieces": F.lit(1)})
+    placed = write_and_read(placed, "placed")
     cell = F.expr(f"shiftright(code, {more} - depth)").alias("cell")
     at = ["tree", "depth", "cell"]
-
-    def cut(dealt_out: DataFrame, dense: list[DataFrame]) -> DataFrame:
-        for found in dense:
-            joined = dealt_out.withColumn("cell", cell).join(F.broadcast(found), at, "left")
-            dealt_out = joined.withColumn("depth", F.col("depth") + F.coalesce("deeper", F.lit(0))).drop("cell", "deeper")
-            dealt_out = dealt_out.withColumn("pieces", F.coalesce("cut_in", "pieces")).drop("cut_in")
-        return dealt_out
-
-    once = lambda *columns: coded.select(*columns, F.posexplode("codes").alias("tree", "code")).withColumns({"depth": F.lit(0), "pieces": F.lit(1)})
-    dense: list[DataFrame] = []
     for turn in range(CUTS + 1):
-        sizes = cut(once(), dense).groupBy("tree", "depth", cell).count().where(F.col("count") > 2 * block)
+        sizes = placed.groupBy("tree", "depth", cell).count().where(F.col("count") > 2 * block)
         wanted = F.ceil(F.log2(F.col("count") / block)).cast("int") if turn < CUTS else F.lit(0)
         pieces = F.ceil(F.col("count") / block).cast("int") if turn == CUTS else F.lit(None).cast("int")
         found = sizes.select(*at, F.least(wanted, F.lit(more) - F.col("depth")).alias("deeper"), pieces.alias("cut_in"))
         found = write_and_read(found, "dense")
-        if found.isEmpty():
+        n_dense = found.count()
+        if not n_dense:
             break
-        dense.append(found)
+        found = F.broadcast(found) if n_dense <= MOST_SENT else found
+        joined = placed.withColumn("cell", cell).join(found, at, "left")
+        depth, pieces = F.col("depth") + F.coalesce("deeper", F.lit(0)), F.coalesce("cut_in", "pieces")
+        placed = write_and_read(joined.select("node", "tree", "code", depth.alias("depth"), pieces.alias("pieces")), "placed")
     piece = F.pmod(F.xxhash64("node", "tree"), F.col("pieces"))
-    return cut(once("node", "half"), dense).select(F.xxhash64("tree", "depth", cell, piece).alias("grp"), "node", "half")
+    grouped = placed.select(F.xxhash64("tree", "depth", cell, piece).alias("grp"), "node")
+    return grouped.join(given, "node").select("grp", "node", "vec")
 
 
 def _by_chance(table: DataFrame, count: int) -> DataFrame:
@@ -214,24 +204,24 @@ def graph(
     A node is introduced to its neighbours and to up to ``degree`` nodes, chosen by a
     hash, that it is a neighbour of; the rest reach it through their own neighbours.
     """
-    halves = _halved(table)
-    count, first = halves.count(), halves.first()
+    given = table.select("node", "vec")
+    count, first = given.count(), given.first()
     if first is None:
         return table.sparkSession.createDataFrame([], EDGES)
-    width, small = len(first["half"]) // 2, _small(halves, "half")
-    blocks = _blocks(halves, count, width, trees, block, seed).unionByName(_by_chance(halves, count).join(halves, "node"))
+    width, small = len(first["vec"]) // 4, _small(given, "vec")
+    blocks = _blocks(given, count, width, trees, block, seed).unionByName(_by_chance(given, count).join(given, "node"))
     blocks = blocks.withColumn("least", F.lit(-np.inf).cast("float"))
-    spread = blocks.repartition("grp").sortWithinPartitions("grp", "node").select("grp", "node", "half", "least")
+    spread = blocks.repartition("grp").sortWithinPartitions("grp", "node").select("grp", "node", "vec", "least")
     edges = write_and_read(_best(spread.mapInArrow(_introduce(width, 4 * block, partners), EDGES), degree), "edges")
     for _ in range(rounds):
         back = Window.partitionBy("b").orderBy(F.xxhash64("a", "b"))
         reverse = edges.withColumn("_at", F.row_number().over(back)).where(F.col("_at") <= degree).select(F.col("b").alias("grp"), F.col("a").alias("node"))
-        around = edges.select(F.col("a").alias("grp"), F.col("b").alias("node")).unionByName(reverse).unionByName(halves.select(F.col("node").alias("grp"), "node"))
+        around = edges.select(F.col("a").alias("grp"), F.col("b").alias("node")).unionByName(reverse).unionByName(given.select(F.col("node").alias("grp"), "node"))
         worst = edges.groupBy(F.col("a").alias("node")).agg(F.when(F.count("*") >= degree, F.min("score")).alias("least"))
-        known = halves.join(worst, "node", "left").select("node", "half", F.coalesce("least", F.lit(-np.inf).cast("float")).alias("least"))
+        known = given.join(worst, "node", "left").select("node", "vec", F.coalesce("least", F.lit(-np.inf).cast("float")).alias("least"))
         pairs = around.distinct()
         met = pairs.repartition("grp").join(F.broadcast(known), "node") if small else pairs.join(known, "node").repartition("grp")
-        met = met.select("grp", "node", "half", "least").sortWithinPartitions("grp")
+        met = met.select("grp", "node", "vec", "least").sortWithinPartitions("grp")
         new = met.mapInArrow(_introduce(width, 4 * degree, partners), EDGES)
         edges = write_and_read(_best(edges.unionByName(new), degree), "edges")
     return edges
@@ -251,11 +241,12 @@ def _scored(pairs: DataFrame, table: DataFrame, queries: DataFrame, small: bool)
     return by_arrow(both.select("query", "node", "vec", "query_vec"), "query bigint, node bigint, score double", step)
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, beam: int = 64, rounds: int = 3, degree: int = 40, descents: int = 5) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = 20, beam: int = 64, degree: int = 40, descents: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of rows whose vec_id is divisible by ``every``.
 
     Nearest first, ties to smaller vec_id, never the query's own id; all candidates where there are
-    fewer. Rows that repeat an id with different vectors are outside the contract.
+    fewer. A search goes on until all of the ``beam`` best nodes that it has seen are opened. Rows that repeat an id with different
+    vectors are candidates and queries of their own: such an id has the answers of each of its vectors.
     """
     table = nodes(vectors, k)
     small = _small(table, "vec")
@@ -268,19 +259,22 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, beam: int = 64, rou
     asked = write_and_read(query_nodes(valid, table), "queries")
     wanted = write_and_read(asked.select("node").distinct().join(table.select("node", "vec"), "node"), "wanted")
 
-    state = write_and_read(_scored(_entries(wanted, table, count), table, wanted, small).withColumn("round", F.lit(0)), "state")
-    for turn in range(1, rounds + 1):
-        best = Window.partitionBy("query").orderBy(F.desc("score"), "node")
-        opened = state.where("round = 0").withColumn("_at", F.row_number().over(best)).where(F.col("_at") <= beam)
-        opened = write_and_read(opened.select("query", "node"), "opened")
+    # Only the best ``beam`` of a query are looked at; what it has seen is kept to score nothing twice.
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "node")
+    best = lambda rows: rows.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= beam).drop("_at")
+    seen = write_and_read(_scored(_entries(wanted, table, count), table, wanted, small), "scored")
+    top = write_and_read(best(seen.withColumn("opened", F.lit(False))), "top")
+    while True:
+        opened = top.where("not opened").select("query", "node")
+        if opened.isEmpty():
+            break
         reached = opened.join(links, opened.node == links.a).select("query", F.col("b").alias("node")).distinct()
-        fresh = _scored(reached.join(state, ["query", "node"], "left_anti"), table, wanted, small).withColumn("round", F.lit(0))
-        done = opened.withColumn("_turn", F.lit(turn))
-        marked = state.join(done, ["query", "node"], "left").select("query", "node", "score", F.coalesce("_turn", "round").alias("round"))
-        state = write_and_read(marked.unionByName(fresh), "state")
+        fresh = write_and_read(_scored(reached.join(seen, ["query", "node"], "left_anti"), table, wanted, small), "scored")
+        seen = seen.unionByName(fresh)
+        top = top.withColumn("opened", F.lit(True)).unionByName(fresh.withColumn("opened", F.lit(False)))
+        top = write_and_read(best(top), "top")
 
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "node")
-    near = state.withColumn("_at", F.row_number().over(best)).where(F.col("_at") <= k + 1)
+    near = top.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= k + 1)
     found = near.join(table.select("node", "ids"), "node").select(F.col("query").alias("node"), "score", F.explode("ids").alias("vec_id"))
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     answers = asked.select(F.col("vec_id").alias("query_id"), "node").join(found, "node").where("query_id <> vec_id")

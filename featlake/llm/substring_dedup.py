@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featlake.llm.common import Words, bitmap_of, by_arrow, in_bitmap, rolled
+from featlake.llm.common import bitmap_of, by_arrow, in_bitmap, rolled, word_hashes
 from featlake.session import write_and_read
 
 BITS, ID_BITS = 1 << 27, 1 << 26
@@ -73,10 +73,10 @@ def slots(hashes: np.ndarray) -> np.ndarray:
 
 def _recurring(docs: DataFrame, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
     """A bitmap of the hashes that ``of(word hashes)`` names more than once over all documents."""
-    words = Words()
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [of(words.of(split(t))) for t in batch.column(0).to_pylist()]
+        hashes, bounds = word_hashes(batch.column(0))
+        found = [of(hashes[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["h"])
 
     counted = by_arrow(docs.select("text"), "h bigint", step).groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
@@ -93,13 +93,12 @@ def passages(docs: DataFrame, span: int) -> DataFrame:
         return rolled(h, span)[in_bitmap(again.value, slots(anchors(h, span)))]
 
     twice = send(_recurring(docs, of_windows))
-    words = Words()
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple] = []
-        for doc_id, text, key in zip(*(c.to_pylist() for c in batch.columns)):
-            split_ = split(text)
-            h = words.of(split_)
+        hashes, bounds = word_hashes(batch.column(1))
+        for k, (doc_id, key) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+            h = hashes[bounds[k] : bounds[k + 1]]
             found = anchors(h, span)
             starts = np.flatnonzero(in_bitmap(again.value, slots(found)))
             starts = starts[in_bitmap(twice.value, slots(rolled(h, span)[starts]))]
@@ -111,6 +110,7 @@ def passages(docs: DataFrame, span: int) -> DataFrame:
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(starts)) - 1
             anchor = here[first].view(np.int64).tolist()
+            split_ = split(batch.column(1)[k].as_py())
             for a, s, e in zip(anchor, starts[first].tolist(), starts[last].tolist()):
                 passage = b" ".join(split_[s : e + span])
                 out.append((a, xxhash.xxh3_128_digest(passage), passage, doc_id, key, s))

@@ -386,7 +386,7 @@ def test_dense_blocks_are_cut_by_nearness_then_differently_in_each_tree(spark):
     far = rng.normal(size=(2000, 32)) + 8  # nearly all hyperplanes leave these on one side
     close = np.ones((1500, 32)) + 1e-4 * rng.normal(size=(1500, 32))
     rows = [(k, v.astype(np.float32).tobytes()) for k, v in enumerate(np.concatenate([far, close]))]
-    halves = neighbours._halved(spark.createDataFrame(rows, "node bigint, vec binary"))
+    halves = spark.createDataFrame(rows, "node bigint, vec binary")
     blocks = neighbours._blocks(halves, 3500, 32, 4, 64, 11)
     members = {}
     for r in blocks.select("grp", "node").collect():
