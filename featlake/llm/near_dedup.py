@@ -32,8 +32,8 @@ REGISTERS, BAND = 160, 5
 BASE, RATE, TOP = 1.001, 20.0, 65_535
 
 #: Pairs whose estimate is further below the threshold than this aren't verified: over
-#: four standard errors of the estimate at REGISTERS registers.
-MARGIN = 0.13
+#: five standard errors of the estimate at REGISTERS registers.
+MARGIN = 0.18
 
 #: Bands looked at first; the others then only have to join what those left apart.
 FIRST_BANDS = 8
@@ -41,6 +41,9 @@ FIRST_BANDS = 8
 #: Classes of a band that one task puts in a random order; larger bands are dealt out.
 ORDERED = 10_000
 
+#: Classes of a band that are compared in one task; a larger band is cut into chunks that meet in pairs.
+CHUNK = 6_000
+
 #: Rounds of random neighbours for bands that are in several components.
 ROUNDS = 1
 
@@ -140,28 +143,35 @@ def _likely(pairs: DataFrame, threshold: float) -> DataFrame:
     return by_arrow(sized, "a bigint, b bigint", step)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, length: int, percent: int) -> DataFrame:
-    """The pairs that are links on the full sets; sets are built for documents in pairs only."""
+def _full_sets(docs: DataFrame, ids: DataFrame, length: int) -> DataFrame:
+    """doc_id and found (sorted shingle hashes) of the documents in ``ids`` (id), and of a few others."""
     slot = lambda name: F.pmod(F.xxhash64(name), F.lit(ID_BITS))
-    wanted = bitmap_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), slot("id"), ID_BITS)
-    sent = docs.sparkSession.sparkContext.broadcast(wanted)
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap_of(ids, slot("id"), ID_BITS))
 
-    def full_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         batch = batch.filter(pa.array(in_bitmap(sent.value, batch.column("slot").to_numpy())))
         lists = [x.tobytes() for x in shingles(batch.column(1), length)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.binary())], ["doc_id", "found"])
 
     keyed = docs.select(F.col("doc_id").cast("bigint"), "text", slot(F.col("doc_id").cast("bigint")).alias("slot"))
-    sets = write_and_read(by_arrow(keyed, "doc_id bigint, found binary", full_sets), "sets")
+    return write_and_read(by_arrow(keyed, "doc_id bigint, found binary", step), "sets")
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets share ``percent`` of a hundred of their union."""
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, length: int, percent: int) -> DataFrame:
+    """The pairs that are links on the full sets; sets are built for documents in pairs only."""
+    sets = _full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), length)
     side = lambda name: sets.select(F.col("doc_id").alias(name), F.col("found").alias(f"found_{name}"))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        linked = []
-        for x, y in zip(batch.column("found_a").to_pylist(), batch.column("found_b").to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            linked.append(100 * shared >= percent * (len(x) + len(y) - shared))
-        return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
+        both = zip(batch.column("found_a").to_pylist(), batch.column("found_b").to_pylist())
+        near = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in both]
+        return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     return by_arrow(pairs.join(side("a"), "a").join(side("b"), "b"), "a bigint, b bigint", step)
 
@@ -193,42 +203,91 @@ def _open(met: DataFrame, labels: DataFrame) -> DataFrame:
     sizes = labelled.groupBy("band", "component").agg(F.count("*").alias("size"))
     bands = sizes.groupBy("band").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component")).alias("most")).where("parts > 1")
     rows = labelled.join(bands, "band").withColumn("largest", F.col("component") == F.col("most.component"))
-    return write_and_read(rows.drop("parts", "most"), "open-bands")
+    return write_and_read(rows.withColumn("n_largest", F.col("most.size")).drop("parts", "most"), "open-bands")
 
 
-def _in_full(rows: DataFrame, threshold: float) -> DataFrame:
-    """Likely pairs across components of each band, each pair in the first band that it shares.
+def _chunked(rows: DataFrame) -> DataFrame:
+    """Rows of open bands with the groups that they are compared in: ``left``, ``right`` and ``outside``.
 
-    All but the largest component of a band are held, and the largest is streamed past them.
+    A band's largest component isn't compared with itself: it is outside, all other rows are inside. A band of up to CHUNK rows is
+    one group. The rows of a larger one are dealt into chunks, and each chunk inside meets itself and each other chunk
+    in a group of its own, so no task holds more than about two chunks.
     """
+    whole = F.col("n") <= CHUNK
+    n_in = F.ceil((F.col("n") - F.col("n_largest")) / CHUNK).cast("int")
+    n_out = F.ceil(F.col("n_largest") / CHUNK).cast("int")
+    chunk = F.pmod(F.xxhash64("id", F.lit("chunk")), F.when(F.col("largest"), n_out).otherwise(n_in)).cast("int")
+    group = lambda left, right, first: F.struct(left.alias("left"), right.alias("right"), first.alias("is_left"))
+    none, inside = F.lit(0), F.sequence(F.lit(0), n_in - 1)
+    outside = F.transform(inside, lambda c: group(c, n_in + F.col("_chunk"), F.lit(False)))
+    met = F.transform(F.sequence(F.lit(0), n_in + n_out - 1), lambda c: group(F.least(c, F.col("_chunk")), F.greatest(c, F.col("_chunk")), c >= F.col("_chunk")))
+    groups = F.when(whole, F.array(group(none, none, ~F.col("largest")))).when(F.col("largest"), outside).otherwise(met)
+    return rows.withColumn("_chunk", chunk).withColumn("_group", F.explode(groups)).select("*", "_group.*").drop("_chunk", "_group")
+
+
+class _Group:
+    """Rows compared in one task: arrays of all, with a label per component that links found here merge."""
+
+    def __init__(self, parts: list[pa.RecordBatch]) -> None:
+        rows = pa.Table.from_batches(parts)
+        of = lambda name: rows.column(name).to_numpy()
+        self.ids, self.labels, self.sizes, self.place = of("id"), of("component").copy(), of("size"), rows.column("place")[0].as_py()
+        self.left = np.flatnonzero(rows.column("is_left").to_numpy(zero_copy_only=False))
+        self.diagonal = rows.column("left")[0].as_py() == rows.column("right")[0].as_py()
+        self.registers = np.frombuffer(b"".join(rows.column("registers").to_pylist()), "<u2").reshape(-1, REGISTERS)
+        self.sets = rows.column("found").to_pylist()
+
+    def links(self, threshold: float, percent: int) -> Iterator[tuple[int, int]]:
+        """Verified links that join components; a row already joined with another isn't compared with it again."""
+        done = np.zeros(len(self.ids), bool)
+        if not self.diagonal:
+            done[self.left] = True
+        for u in self.left.tolist():
+            done[u] = True
+            fits = np.minimum(self.sizes, self.sizes[u]) >= threshold * np.maximum(self.sizes, self.sizes[u])
+            at = np.flatnonzero(fits & ~done & (self.labels != self.labels[u]))
+            likely = []
+            for part in np.array_split(at, -(-len(at) // 1000)) if len(at) else []:
+                same = self.registers[part] == self.registers[u]
+                part = part[same.reshape(len(part), -1, BAND).all(2).argmax(1) == self.place]
+                near = estimate(self.registers[part], self.registers[u][None], self.sizes[part], np.full(len(part), self.sizes[u]))
+                likely += [(-x, v) for x, v in zip(near.tolist(), part.tolist()) if x >= threshold - MARGIN]
+            own = np.frombuffer(self.sets[u], np.uint64)
+            for _, v in sorted(likely):
+                if self.labels[v] != self.labels[u] and linked(own, np.frombuffer(self.sets[v], np.uint64), percent):
+                    self.labels[self.labels == self.labels[v]] = self.labels[u]
+                    yield min(self.ids[u], self.ids[v]), max(self.ids[u], self.ids[v])
+
+
+def _in_full(docs: DataFrame, rows: DataFrame, threshold: float, length: int, percent: int) -> DataFrame:
+    """Links that join components of open bands: every likely pair across them is verified on the full sets where it is
+    found, in the first band that it shares, unless links found before have joined the two."""
+    sets = _full_sets(docs, rows.select("id").distinct(), length).withColumnRenamed("doc_id", "id")
+    names = ["band", "left", "right", "place", "id", "component", "size", "is_left", "registers", "found"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band, n = None, 0
-        regs, held = np.empty((64, REGISTERS), "<u2"), np.empty((3, 64), np.int64)  # held: id, component, size
+        key, parts = None, []
         for batch in batches:
-            ids = np.column_stack([batch.column(name).to_numpy() for name in ("id", "component", "size", "band", "place")])
-            own_of = np.frombuffer(b"".join(batch.column("registers").to_pylist()), "<u2").reshape(-1, REGISTERS)
-            pairs = [np.zeros((2, 0), np.int64)]
-            for (id_, component, size, its_band, place), own, largest in zip(ids, own_of, batch.column("largest").to_pylist()):
-                if its_band != band:
-                    band, n = its_band, 0
-                sizes = held[2, :n]
-                fits = np.minimum(sizes, size) >= threshold * np.maximum(sizes, size)
-                at = np.flatnonzero(fits & (held[1, :n] != component))
-                if len(at):
-                    at = at[(regs[at] == own).reshape(len(at), -1, BAND).all(2).argmax(1) == place]
-                for part in np.array_split(at, -(-len(at) // 1000)) if len(at) else []:
-                    near = estimate(regs[part], own[None], held[2, part], np.full(len(part), size)) >= threshold - MARGIN
-                    found = held[0, part[near]]
-                    pairs.append(np.stack([np.minimum(found, id_), np.maximum(found, id_)]))
-                if not largest:
-                    if n == len(regs):
-                        regs, held = np.concatenate([regs, np.empty_like(regs)]), np.concatenate([held, np.empty_like(held)], axis=1)
-                    regs[n], held[:, n], n = own, (id_, component, size), n + 1
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in np.concatenate(pairs, axis=1)], ["a", "b"])
-
-    named = rows.select("band", "place", "id", "component", "largest", F.col("registers_id").alias("registers"), F.col("size_id").alias("size"))
-    return named.repartition("band").sortWithinPartitions("band", "largest").mapInArrow(run, "a bigint, b bigint")
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+            start = 0
+            for at in range(1, len(keys) + 1):
+                if at == len(keys) or keys[at] != keys[start]:
+                    if keys[start] != key and parts:
+                        yield of_group(parts)
+                        parts = []
+                    key = keys[start]
+                    parts.append(batch.slice(start, at - start))
+                    start = at
+        if parts:
+            yield of_group(parts)
+
+    def of_group(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        found = np.array(list(_Group(parts).links(threshold, percent)), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    given = rows.withColumnsRenamed({"registers_id": "registers", "size_id": "size"}).join(sets, "id")
+    dealt = _chunked(given).select(names).repartition("band", "left", "right").sortWithinPartitions("band", "left", "right")
+    return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -265,12 +324,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
         apart = _open(met, labels) if turn else met
         if turn <= ROUNDS:
             across = (_neighbours(apart, turn, 3) if turn else _pivots(met, labels)).distinct()
-            more = _likely(across.join(side("a"), "a").join(side("b"), "b"), threshold)
+            more = write_and_read(_likely(across.join(side("a"), "a").join(side("b"), "b"), threshold).distinct(), "likely-across")
+            more = _verified(docs, more, shingle_words, percent)
         else:
-            more = _in_full(apart.join(side("id"), "id"), threshold)
-        more = write_and_read(more.distinct(), "likely-across")
+            more = _in_full(docs, apart.join(side("id"), "id"), threshold, shingle_words, percent)
+        more = write_and_read(more.distinct(), "links-across")
         if not more.isEmpty():
-            links = write_and_read(links.unionByName(_verified(docs, more, shingle_words, percent)), "links")
+            links = write_and_read(links.unionByName(more), "links")
             labels = components(links)
 
     by_class = classes.join(labels.withColumnRenamed("node", "a_class"), "a_class", "left").select(

@@ -413,3 +413,36 @@ def test_tight_groups_smaller_than_an_answer_leave_no_query_short(spark, groups,
 def test_packing_query_covers_all_documents(spark, sf_dir):
     found = op6_best_two_fit(spark, sf_dir)
     assert found.select("doc_id").distinct().count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+@pytest.mark.parametrize("chunk", [6_000, 60])
+def test_links_inside_a_template_group_near_the_threshold(spark, monkeypatch, chunk):
+    """Copies of one text, each with words of its own: most pairs are just below the threshold, some at it or above."""
+    monkeypatch.setattr(near_dedup, "CHUNK", chunk)
+    rng = np.random.default_rng(3)
+    texts = []
+    for k in range(220):
+        words = [f"t{i}" for i in range(200)]
+        for i in rng.choice(200, rng.integers(4, 13), replace=False):
+            words[i] = f"own{k}x{i}"
+        texts.append(" ".join(words))
+    sets = [{tuple(w[i : i + 2]) for i in range(len(w) - 1)} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    shares = []
+    for a in range(len(sets)):
+        for b in range(a):
+            shared = len(sets[a] & sets[b])
+            shares.append(shared / (len(sets[a]) + len(sets[b]) - shared))
+            if 100 * shared >= 80 * (len(sets[a]) + len(sets[b]) - shared):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert 0.7 < np.mean(shares) < 0.85 and len({find(a) for a in root}) > 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    found = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, 2, 80).collect()}
+    assert found == {a: find(a) for a in range(len(texts))}
