@@ -29,9 +29,12 @@ from featlake.llm.common import bitmap_of, by_arrow, in_bitmap, rolled, word_has
 from featlake.session import write_and_read
 
 BITS, ID_BITS = 1 << 27, 1 << 26
-PASSAGE = "anchor bigint, passage_key binary, passage binary, doc_id bigint, doc_key bigint, start bigint"
+PASSAGE = "anchor bigint, passage_key bigint, passage binary, doc_id bigint, doc_key bigint, start bigint"
 SHARD_PASSAGES = 4_000
 
+#: Passages that a task remembers to have handed on with their words.
+REMEMBERED = 200_000
+
 #: Windows in a passage at most; a longer run is cut.
 RUN = 32
 
@@ -84,7 +87,10 @@ def _recurring(docs: DataFrame, of: Callable[[np.ndarray], np.ndarray]) -> np.nd
 
 
 def passages(docs: DataFrame, span: int) -> DataFrame:
-    """Runs of windows that may recur, one row per anchor occurrence, with the words they span."""
+    """Runs of windows that may recur, one row per anchor occurrence, with the words they span.
+
+    Equal passages have equal anchors and keys. A task hands the words of one on once and then leaves them out, as a rule.
+    """
     send = docs.sparkSession.sparkContext.broadcast
 
     again = send(_recurring(docs, lambda h: anchor_places(h, span)))
@@ -93,6 +99,7 @@ def passages(docs: DataFrame, span: int) -> DataFrame:
         return rolled(h, span)[in_bitmap(again.value, slots(anchors(h, span)))]
 
     twice = send(_recurring(docs, of_windows))
+    told: set[tuple[int, int]] = set()  # in a task: passages whose words have been handed on
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple] = []
@@ -113,8 +120,12 @@ def passages(docs: DataFrame, span: int) -> DataFrame:
             split_ = split(batch.column(1)[k].as_py())
             for a, s, e in zip(anchor, starts[first].tolist(), starts[last].tolist()):
                 passage = b" ".join(split_[s : e + span])
-                out.append((a, xxhash.xxh3_128_digest(passage), passage, doc_id, key, s))
-        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+                name = a, xxhash.xxh3_64_intdigest(passage) - (1 << 63)
+                out.append((*name, None if name in told else passage, doc_id, key, s))
+                if len(told) >= REMEMBERED:
+                    told.clear()
+                told.add(name)
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
         columns = [pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 6, kinds)]
         return pa.RecordBatch.from_arrays(columns, ["anchor", "passage_key", "passage", "doc_id", "doc_key", "start"])
 
@@ -172,11 +183,24 @@ def _located(shard: list[tuple], span: int) -> Iterator[tuple]:
 
 
 def located(found: DataFrame, span: int) -> DataFrame:
-    """The passages' repeated offsets, by shards of whole anchors."""
+    """The passages' repeated offsets, by shards of whole anchors.
+
+    A passage alone with its anchor shares no window with another and stays where its occurrences were
+    counted; only passages of anchors that have several meet by anchor. A bitmap of those anchors tells them apart, and
+    lets more of the others through when it fills up.
+    """
+    several = found.groupBy("anchor").agg(F.min("passage_key").alias("low"), F.max("passage_key").alias("high")).where("low <> high")
+    sent = found.sparkSession.sparkContext.broadcast(bitmap_of(several, F.col("anchor").bitwiseAND(BITS - 1), BITS))
+
+    def crowded(anchors_: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for anchor in anchors_:
+            yield pd.Series(in_bitmap(sent.value, anchor.to_numpy() & (BITS - 1)))
+
+    crowded = F.pandas_udf(crowded, "boolean")
     distinct = found.groupBy("anchor", "passage_key").agg(
-        F.any_value("passage").alias("passage"), F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")
+        F.any_value("passage", ignoreNulls=True).alias("passage"), F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")
     )
-    dealt = distinct.select("anchor", "passage_key", "passage", "first.doc_id", "first.start", "n")
+    dealt = distinct.select("anchor", "passage_key", "passage", "first.doc_id", "first.start", "n", crowded("anchor").alias("crowded"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard: list[tuple] = []
@@ -192,12 +216,13 @@ def located(found: DataFrame, span: int) -> DataFrame:
     def emit(shard: list[tuple]) -> Iterator[pa.RecordBatch]:
         rows = list(_located(shard, span))
         if rows:
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            kinds = (pa.int64(),) * 6
             names = ["anchor", "passage_key", "first_doc", "first_start", "in_first", "in_rest"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    schema = "anchor bigint, passage_key binary, first_doc bigint, first_start bigint, in_first bigint, in_rest bigint"
-    return dealt.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, schema)
+    schema = "anchor bigint, passage_key bigint, first_doc bigint, first_start bigint, in_first bigint, in_rest bigint"
+    together = dealt.where("crowded").drop("crowded").repartition("anchor").sortWithinPartitions("anchor")
+    return together.mapInArrow(run, schema).unionByName(dealt.where("not crowded").drop("crowded").mapInArrow(run, schema))
 
 
 def removals(docs: DataFrame, span: int) -> DataFrame:
