@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -104,10 +105,20 @@ def by_arrow(df: DataFrame, schema: StructType | str, step: Callable[[pa.RecordB
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from map(step, slices(batch))
+        batch = None
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker waits for the next stage's tasks and would keep it until then."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # absent where the C library isn't glibc
+    if trim:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     rows = max(1, int(batch.num_rows * STEP_CHARS / max(batch.nbytes, 1)))
     for at in range(0, batch.num_rows, rows):

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from featlake.llm.common import MIX_1, bitmap_of, by_arrow, chained, in_bitmap, int_lists, mixed, word_hashes
+from featlake.llm.common import MIX_1, bitmap_of, by_arrow, chained, give_back, in_bitmap, int_lists, mixed, word_hashes
 from featlake.llm.components import components
 from featlake.session import write_and_read
 
@@ -280,6 +280,8 @@ def _in_full(docs: DataFrame, rows: DataFrame, threshold: float, length: int, pe
                     start = at
         if parts:
             yield of_group(parts)
+        parts = []
+        give_back()
 
     def of_group(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         found = np.array(list(_Group(parts).links(threshold, percent)), np.int64).reshape(-1, 2)

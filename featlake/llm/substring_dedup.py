@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featlake.llm.common import bitmap_of, by_arrow, in_bitmap, rolled, word_hashes
+from featlake.llm.common import bitmap_of, by_arrow, give_back, in_bitmap, rolled, word_hashes
 from featlake.session import write_and_read
 
 BITS, ID_BITS = 1 << 27, 1 << 26
@@ -212,6 +212,8 @@ def located(found: DataFrame, span: int) -> DataFrame:
                 shard.append(row)
         if shard:
             yield from emit(shard)
+        shard = []
+        give_back()
 
     def emit(shard: list[tuple]) -> Iterator[pa.RecordBatch]:
         rows = list(_located(shard, span))
