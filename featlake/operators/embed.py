@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from featlake.catalog import Catalog
 from featlake.functions.ids import as_column, in_vocab_or_zero
 from featlake.operators.sequence import domain_length
+from featlake.session import write_and_read
 
 # A table is sent to every task only if its vectors stay below this size.
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
@@ -92,7 +93,7 @@ def lookup_concat(
         F.struct(F.lit(i).alias("_pos"), F.lit(fid).cast("bigint").alias("fid"), F.col(column).cast("bigint").alias("id"))
         for i, (fid, column) in enumerate(features)
     ]
-    numbered = df.withColumn("_row", F.monotonically_increasing_id())
+    numbered = write_and_read(df.withColumn("_row", F.monotonically_increasing_id()), "numbered-rows")
     long = numbered.select(*numbered.columns, F.inline(F.array(*cells)))
     long = long.withColumn("id", F.when(F.col("fid").isNull(), F.lit(0)).otherwise(F.col("id")))
     keyed = long.withColumn("_key", _join_key(long, "id")).drop("id")
@@ -141,7 +142,7 @@ def bag_mean(
 
         mean = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda d: total(d) / F.col("_n"))
         return joined.select(*keys, mean.alias(name))
-    numbered = df.withColumn("_row", F.monotonically_increasing_id())
+    numbered = write_and_read(df.withColumn("_row", F.monotonically_increasing_id()), "numbered-rows")
     long = numbered.select(*keys, "_row", F.posexplode_outer(ids).alias("_pos", "_id"))
     keyed = long.withColumn("_key", _join_key(long, "_id"))
     vectors = _feature_table(table, fid, "_key", "_vec")

@@ -63,10 +63,13 @@ def infer_catalog(df: DataFrame, time_fids: dict[str, int] | None = None) -> Dat
 
     One global aggregate holds all columns' expressions: each task reduces its
     rows to a single buffer, so the only thing shuffled is one row per task. The
-    resulting single row is unpivoted into one row per feature.
+    resulting single row is unpivoted into one row per feature. A table without feature columns has an empty catalog.
     """
     time_fids = time_fids or {}
     columns = feature_columns(df)
+    if not columns:
+        kind = "grp string, domain string, fid bigint, column string, vocab bigint, dim int, offset int, slot int, is_ts boolean"
+        return df.sparkSession.createDataFrame([], kind)
     aggregates, entries = [], []
     offset: dict[str, Column] = {}
     slots: dict[tuple[str, str], int] = {}
@@ -106,6 +109,8 @@ def detect_time_columns(df: DataFrame) -> DataFrame:
     """Sequence columns whose largest value looks like epoch seconds."""
     low, high = EPOCH_SECONDS_RANGE
     columns = [c for c in feature_columns(df) if c[0] == "seq"]
+    if not columns:
+        return df.sparkSession.createDataFrame([], "domain string, fid bigint, max_value bigint")
     row = df.agg(*[F.max(F.array_max(name)).alias(name) for *_, name in columns])
     entries = [
         F.struct(

@@ -125,3 +125,11 @@ def test_bad_catalog_documents_fail_loudly(spark, document, named):
 def test_unknown_validation_choice_is_refused(spark):
     with pytest.raises(ValueError, match="valid_from"):
         workflows.training_data(spark, "/nowhere", None, valid_from="head")
+
+
+def test_a_table_without_feature_columns_has_an_empty_catalog(spark):
+    from featlake.operators import profile
+
+    df = spark.createDataFrame([(1, 2)], "user_id bigint, other int")
+    assert profile.infer_catalog(df).count() == 0 and profile.detect_time_columns(df).count() == 0
+    assert profile.infer_catalog(df.withColumn("user_int_feats_1", profile.F.lit(3))).schema.names == profile.infer_catalog(df).schema.names
