@@ -146,8 +146,8 @@ def require_in_vocab(df: DataFrame, catalog: Catalog, seq_max_lens: dict[str, in
     bad = oob_audit(df, catalog, seq_max_lens).orderBy("grp", "column").collect()
     if bad:
         lines = [
-            f"{r['grp']} {r['column']}: {r['oob_count']} values out of range "
-            f"[0, {r['vocab']}), actual=[{r['min_oob']}, {r['max_oob']}]"
+            f"{r['column']} ({r['grp']}) has {r['oob_count']} ids between {r['min_oob']} and {r['max_oob']}, "
+            f"but its vocabulary ends at {r['vocab'] - 1}"
             for r in bad
         ]
         raise ValueError("\n".join(lines))
@@ -156,7 +156,7 @@ def require_in_vocab(df: DataFrame, catalog: Catalog, seq_max_lens: dict[str, in
 def audit_report(audit: DataFrame) -> DataFrame:
     """Report lines, ordered by group and column."""
     line = F.format_string(
-        "%s %s: vocab=%d, oob_count=%d, range=[%d, %d], %s",
-        "grp", "column", "vocab", "oob_count", "min_oob", "max_oob", "direction",
+        "%s (%s): %d ids from %d to %d are %s for a vocabulary of %d",
+        "column", "grp", "oob_count", "min_oob", "max_oob", "direction", "vocab",
     )
     return audit.orderBy("grp", "column").select(line.alias("value"))

@@ -175,8 +175,7 @@ def oob_audit(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "oob_report",
     f"""WITH {sql.WIDE}, {_audited_sql()}
-SELECT grp || ' ' || "column" || ': vocab=' || vocab || ', oob_count=' || oob_count || ', range=[' || min_oob || ', '
-       || max_oob || '], ' || direction AS value
+SELECT "column" || ' (' || grp || '): ' || oob_count || ' ids from ' || min_oob || ' to ' || max_oob || ' are ' || direction || ' for a vocabulary of ' || vocab AS value
 FROM oob""",
 )
 def oob_report(spark: SparkSession, sf: str) -> DataFrame:

@@ -81,14 +81,16 @@ def test_audit(samples, spark, tmp_path):
     }
     write_audit_report(audit, str(tmp_path / "report"))
     lines = [r["value"] for r in spark.read.text(str(tmp_path / "report")).collect()]
-    assert lines == sorted(lines) and "seq_a domain_a_seq_40: vocab=10, oob_count=2, range=[10, 11], TOO_HIGH" in lines
+    order = [tuple(reversed(line.split("):")[0].split(" ("))) for line in lines]
+    assert len(lines) == 5 and order == sorted(order)
+    assert "domain_a_seq_40 (seq_a): 2 ids from 10 to 11 are TOO_HIGH for a vocabulary of 10" in lines
 
 
 def test_strict_mode_names_every_column(samples):
     with pytest.raises(ValueError) as error:
         clean.model_input(samples, CATALOG, {"seq_a": 4, "seq_b": 2}, on_oob="error")
     text = str(error.value)
-    assert "user_int_feats_1" in text and "domain_b_seq_68" in text and "[0, 8)" in text
+    assert "user_int_feats_1" in text and "domain_b_seq_68" in text and "vocabulary ends at 7" in text
     good = samples.filter("user_id = -1")
     assert clean.model_input(good, CATALOG, on_oob="error").count() == 0
 
