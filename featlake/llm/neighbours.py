@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from featlake.llm.common import by_arrow, int_lists
@@ -43,20 +43,27 @@ FAR_GROUPS, FAR = 2, 4
 ENTRIES = 8
 
 
+def kind_of(vectors: DataFrame) -> np.dtype:
+    """Single precision where the table holds it, else double: no digit of a vector is lost."""
+    return np.dtype(np.float32 if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else np.float64)
+
+
 def nodes(vectors: DataFrame, k: int) -> DataFrame:
-    """node, vec (float32 bytes) and ids (the k + 1 smallest) for each distinct vector that takes part.
+    """node, vec (bytes, as precise as the table) and ids (the k + 1 smallest) for each distinct vector that takes part.
 
     Vectors that are null, empty or zero or hold a null or non-finite component take
     no part, nor do rows without an id or those whose length isn't the commonest one (smallest of
     those in a tie). Rows that repeat an id and vector count once.
     """
 
+    kind = kind_of(vectors)
+
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, keys, raw, sizes = [], [], [], []
         for vec_id, vec in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if vec_id is None or not vec or None in vec:
                 continue
-            x = np.array(vec, np.float32) + np.float32(0)  # one zero only
+            x = np.array(vec, kind) + kind.type(0)  # one zero only
             if np.isfinite(x).all() and x.any():
                 ids.append(vec_id)
                 raw.append(x.tobytes())
@@ -65,7 +72,7 @@ def nodes(vectors: DataFrame, k: int) -> DataFrame:
         columns = [pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(raw, pa.binary()), pa.array(sizes, pa.int32())]
         return pa.RecordBatch.from_arrays(columns, ["vec_id", "key", "vec", "size"])
 
-    given = vectors.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<float>"))
+    given = vectors.select(F.col("vec_id").cast("bigint"), in_kind(kind))
     valid = write_and_read(by_arrow(given, "vec_id bigint, key binary, vec binary, size int", step), "vectors")
     usual = valid.groupBy("size").count().orderBy(F.desc("count"), "size").limit(1).select("size").collect()
     valid = valid.where(F.col("size") == (usual[0]["size"] if usual else 0))
@@ -78,6 +85,28 @@ def nodes(vectors: DataFrame, k: int) -> DataFrame:
     return write_and_read(ids.join(rows, ["node", "key"]).select("node", "vec", "ids"), "nodes")
 
 
+def in_kind(kind: np.dtype) -> Column:
+    return F.col("embedding").cast("array<float>" if kind == np.float32 else "array<double>")
+
+
+def for_graph(table: DataFrame, kind: np.dtype) -> DataFrame:
+    """node and vec in single precision; doubles are first brought to the size of their largest component."""
+    if kind == np.float32:
+        return table.select("node", "vec")
+
+    def largest(batch: pa.RecordBatch) -> pa.RecordBatch:
+        most = [np.abs(np.frombuffer(x, kind)).max() for x in batch.column(0).to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array(most, pa.float64())], ["most"])
+
+    most = by_arrow(table.select("vec"), "most double", largest).agg(F.max("most")).first()[0] or 1.0
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        raw = [(np.frombuffer(x, kind) / most).astype(np.float32).tobytes() for x in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["node", "vec"])
+
+    return write_and_read(by_arrow(table.select("node", "vec"), "node bigint, vec binary", step), "single")
+
+
 def _groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple]]:
     """Rows that share the first column, which come in a row; groups over ``most`` are cut."""
     rows: list[tuple] = []
@@ -227,14 +256,14 @@ def graph(
     return edges
 
 
-def _scored(pairs: DataFrame, table: DataFrame, queries: DataFrame, small: bool) -> DataFrame:
+def _scored(pairs: DataFrame, table: DataFrame, queries: DataFrame, small: bool, kind: np.dtype) -> DataFrame:
     """(query, node) pairs with the inner product in double precision."""
     sent = F.broadcast if small else (lambda df: df)
     asked = queries.select(F.col("node").alias("query"), F.col("vec").alias("query_vec"))
     both = pairs.join(sent(table.select("node", "vec")), "node").join(sent(asked), "query")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        of = lambda name: np.frombuffer(b"".join(batch.column(name).to_pylist()), np.float32).reshape(batch.num_rows, -1).astype(np.float64)
+        of = lambda name: np.frombuffer(b"".join(batch.column(name).to_pylist()), kind).reshape(batch.num_rows, -1).astype(np.float64)
         score = np.einsum("nw,nw->n", of("vec"), of("query_vec"))
         return pa.RecordBatch.from_arrays([batch.column("query"), batch.column("node"), pa.array(score)], ["query", "node", "score"])
 
@@ -248,28 +277,28 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, beam: int = 64, deg
     fewer. A search goes on until all of the ``beam`` best nodes that it has seen are opened. Rows that repeat an id with different
     vectors are candidates and queries of their own: such an id has the answers of each of its vectors.
     """
-    table = nodes(vectors, k)
+    table, kind = nodes(vectors, k), kind_of(vectors)
     small = _small(table, "vec")
-    edges, count = graph(table, degree, descents, partners=k + 1), table.count()
+    edges, count = graph(for_graph(table, kind), degree, descents, partners=k + 1), table.count()
     back = Window.partitionBy("b").orderBy(F.xxhash64("a", "b"))
     reverse = edges.withColumn("_at", F.row_number().over(back)).where(F.col("_at") <= degree).select(F.col("b").alias("a"), F.col("a").alias("b"))
     links = write_and_read(edges.select("a", "b").unionByName(reverse).unionByName(_far_links(table, count)).distinct(), "links")
 
-    valid = vectors.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<float>")).where(F.col("vec_id") % every == 0)
-    asked = write_and_read(query_nodes(valid, table), "queries")
+    valid = vectors.select(F.col("vec_id").cast("bigint"), in_kind(kind)).where(F.col("vec_id") % every == 0)
+    asked = write_and_read(query_nodes(valid, table, kind), "queries")
     wanted = write_and_read(asked.select("node").distinct().join(table.select("node", "vec"), "node"), "wanted")
 
     # Only the best ``beam`` of a query are looked at; what it has seen is kept to score nothing twice.
     order = Window.partitionBy("query").orderBy(F.desc("score"), "node")
     best = lambda rows: rows.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= beam).drop("_at")
-    seen = write_and_read(_scored(_entries(wanted, table, count), table, wanted, small), "scored")
+    seen = write_and_read(_scored(_entries(wanted, table, count), table, wanted, small, kind), "scored")
     top = write_and_read(best(seen.withColumn("opened", F.lit(False))), "top")
     while True:
         opened = top.where("not opened").select("query", "node")
         if opened.isEmpty():
             break
         reached = opened.join(links, opened.node == links.a).select("query", F.col("b").alias("node")).distinct()
-        fresh = write_and_read(_scored(reached.join(seen, ["query", "node"], "left_anti"), table, wanted, small), "scored")
+        fresh = write_and_read(_scored(reached.join(seen, ["query", "node"], "left_anti"), table, wanted, small, kind), "scored")
         seen = seen.unionByName(fresh)
         top = top.withColumn("opened", F.lit(True)).unionByName(fresh.withColumn("opened", F.lit(False)))
         top = write_and_read(best(top), "top")
@@ -282,7 +311,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, beam: int = 64, deg
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def query_nodes(asked: DataFrame, table: DataFrame) -> DataFrame:
+def query_nodes(asked: DataFrame, table: DataFrame, kind: np.dtype) -> DataFrame:
     """vec_id and node of the query rows that take part."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -290,7 +319,7 @@ def query_nodes(asked: DataFrame, table: DataFrame) -> DataFrame:
         for vec_id, vec in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if vec and None not in vec:
                 ids.append(vec_id)
-                raw.append((np.array(vec, np.float32) + np.float32(0)).tobytes())
+                raw.append((np.array(vec, kind) + kind.type(0)).tobytes())
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.binary())], ["vec_id", "vec"])
 
     return by_arrow(asked, "vec_id bigint, vec binary", step).distinct().join(table.select("vec", "node"), "vec").select("vec_id", "node")

@@ -446,3 +446,19 @@ def test_links_inside_a_template_group_near_the_threshold(spark, monkeypatch, ch
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
     found = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, 2, 80).collect()}
     assert found == {a: find(a) for a in range(len(texts))}
+
+
+@pytest.mark.parametrize("factor", [1.0, 1e200, 1e-200])
+def test_neighbours_keep_the_digits_of_doubles(spark, factor):
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=8)
+    vectors = np.array([centre + rng.normal(size=8) * 1e-10 for _ in range(60)]) * (factor if factor == 1.0 else factor**0.5)
+    given = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
+    found: dict[int, list] = {}
+    for r in neighbours.search(given).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert sorted(found) == [0, 20, 40]
+    for query, rows in found.items():
+        exact = np.einsum("nw,nw->n", vectors, np.tile(vectors[query], (60, 1)))
+        others = sorted((i for i in range(60) if i != query), key=lambda i: (-exact[i], i))[:20]
+        assert rows == [(i, exact[i]) for i in others]
