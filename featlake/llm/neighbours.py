@@ -2,8 +2,8 @@
 
 Equal vectors are one node, known by its smallest id; a node remembers its smallest ids,
 no more than an answer can hold, since ties go to smaller ids. The neighbour graph starts from
-blocks of a few random hyperplanes; a block that holds too many nodes is cut by further
-hyperplanes, and in pieces that differ from tree to tree where those don't part it. Then,
+blocks: a tree orders the nodes by the sides of random hyperplanes they lie on, and runs of that order are
+blocks, which differ from tree to tree where no plane parts the nodes. Then,
 round by round, Spark joins every node with its neighbours and those it is a neighbour of,
 and introduces them to each other. In a block or such a meeting a node takes as many partners
 as an answer and itself need, and it keeps links to a few nodes chosen by a hash, so that the
@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,11 +31,11 @@ EDGES = "a bigint, b bigint, score float"
 #: Vectors up to this size in all are sent to the tasks; larger tables meet by a shuffle.
 BROADCAST_BYTES = 32 << 20
 
-#: Hyperplanes kept for blocks that are too large, and how often blocks are counted and cut by some of them.
-MORE_BITS, CUTS = 24, 4
+#: Hyperplanes beyond those that would part evenly spread nodes into blocks.
+MORE_BITS = 24
 
-#: Cells that are too large are sent to the tasks up to this many; more meet their nodes by a shuffle.
-MOST_SENT = 200_000
+#: About so many nodes of a tree's order are cut into blocks by one task.
+ORDERED = 65_536
 
 #: Groups by a hash, of about so many nodes, in which each node has links to all others.
 FAR_GROUPS, FAR = 2, 4
@@ -163,43 +164,43 @@ def _best(edges: DataFrame, degree: int) -> DataFrame:
 
 
 def _blocks(given: DataFrame, count: int, width: int, trees: int, block: int, seed: int) -> DataFrame:
-    """(grp, node, vec): each node once for each tree, in blocks of about ``block`` and under 4 * ``block`` nodes.
+    """(grp, node, vec): each node once for each tree, in blocks of about ``block`` and at most 2 * ``block`` nodes.
 
-    Blocks are counted. One of over 2 * ``block`` nodes is cut by as many further hyperplanes as would
-    bring it to ``block``, CUTS times at most; what is too large then, such as vectors that
-    hardly differ, is dealt by a hash of node and tree, so other trees part other nodes.
+    A tree orders all nodes by the sides of its hyperplanes they lie on, the first plane first. Spark deals that order over tasks of about
+    ORDERED nodes, and a task cuts it into runs of like size, so a dense part of the space is cut by as many planes as it needs.
+    Nodes that no plane parts, such as vectors that hardly differ, stand in the order of a hash of node and tree, so
+    other trees part other nodes. The runs are written once, as they depend on where the tasks begin.
     """
-    bits = max(0, int(np.ceil(np.log2(max(1, count / block)))))
-    more = min(MORE_BITS, 62 - bits)
-    planes = np.random.default_rng(seed).normal(size=(width, trees * (bits + more))).astype(np.float32)
-    weights = 1 << np.arange(bits + more - 1, -1, -1, dtype=np.int64)
+    bits = min(62, max(0, int(np.ceil(np.log2(max(1, count / block))))) + MORE_BITS)
+    planes = np.random.default_rng(seed).normal(size=(width, trees * bits)).astype(np.float32)
+    weights = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
 
     def dealt(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, width)
         codes = (x @ planes > 0).reshape(len(x), trees, -1) @ weights
         return pa.RecordBatch.from_arrays([batch.column(0), int_lists(codes.ravel(), [trees] * len(x), pa.int64())], ["node", "codes"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = list(batches)
+        task = TaskContext.get().partitionId()
+        if not sum(r.num_rows for r in rows):
+            return
+        tree, node = (np.concatenate([r.column(k).to_numpy() for r in rows]) for k in range(2))
+        starts = np.flatnonzero(np.diff(tree, prepend=-1))
+        grp = np.empty(len(node), np.int64)
+        first = 0
+        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(node)]):
+            runs = max(1, round((end - start) / block))
+            grp[start:end] = first + np.arange(end - start) * runs // (end - start)
+            first += runs
+        yield pa.RecordBatch.from_arrays([pa.array((task << 32) + grp), pa.array(node)], ["grp", "node"])
+
     coded = by_arrow(given, "node bigint, codes array<bigint>", dealt)
-    placed = coded.select("node", F.posexplode("codes").alias("tree", "code")).withColumns({"depth": F.lit(0), "pieces": F.lit(1)})
-    placed = write_and_read(placed, "placed")
-    cell = F.expr(f"shiftright(code, {more} - depth)").alias("cell")
-    at = ["tree", "depth", "cell"]
-    for turn in range(CUTS + 1):
-        sizes = placed.groupBy("tree", "depth", cell).count().where(F.col("count") > 2 * block)
-        wanted = F.ceil(F.log2(F.col("count") / block)).cast("int") if turn < CUTS else F.lit(0)
-        pieces = F.ceil(F.col("count") / block).cast("int") if turn == CUTS else F.lit(None).cast("int")
-        found = sizes.select(*at, F.least(wanted, F.lit(more) - F.col("depth")).alias("deeper"), pieces.alias("cut_in"))
-        found = write_and_read(found, "dense")
-        n_dense = found.count()
-        if not n_dense:
-            break
-        found = F.broadcast(found) if n_dense <= MOST_SENT else found
-        joined = placed.withColumn("cell", cell).join(found, at, "left")
-        depth, pieces = F.col("depth") + F.coalesce("deeper", F.lit(0)), F.coalesce("cut_in", "pieces")
-        placed = write_and_read(joined.select("node", "tree", "code", depth.alias("depth"), pieces.alias("pieces")), "placed")
-    piece = F.pmod(F.xxhash64("node", "tree"), F.col("pieces"))
-    grouped = placed.select(F.xxhash64("tree", "depth", cell, piece).alias("grp"), "node")
-    return grouped.join(given, "node").select("grp", "node", "vec")
+    exploded = coded.select("node", F.posexplode("codes").alias("tree", "code")).withColumn("chance", F.xxhash64("node", "tree"))
+    order = ["tree", "code", "chance", "node"]
+    ordered = exploded.repartitionByRange(max(1, -(-count * trees // ORDERED)), *order).sortWithinPartitions(*order)
+    placed = write_and_read(ordered.select("tree", "node").mapInArrow(run, "grp bigint, node bigint"), "placed")
+    return placed.join(given, "node").select("grp", "node", "vec")
 
 
 def _by_chance(table: DataFrame, count: int) -> DataFrame:
