@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from featlake.catalog import Catalog, Feature
@@ -17,6 +17,9 @@ from featlake.functions.ids import (
 )
 from featlake.operators.profile import is_list_column
 from featlake.operators.sequence import domain_length, domain_stack, domain_time_buckets
+from featlake.session import write_and_read
+
+AUDIT_TYPE = "grp string, column string, vocab bigint, oob_count bigint, min_oob bigint, max_oob bigint, direction string"
 
 
 def cleaned(df: DataFrame, f: Feature) -> Column:
@@ -56,11 +59,13 @@ def model_input(
     """The model-ready table: one select over the sample table, no shuffle.
 
     ``keep`` names further sample columns to pass through. With
-    ``on_oob='error'`` an audit runs first and reports every bad column at once.
+    ``on_oob='error'`` the rows are written by ``audited_input`` now, and every bad column is reported at once.
     """
     if on_oob == "error":
-        require_in_vocab(df, catalog, seq_max_lens)
-    elif on_oob != "clip":
+        built, audit = audited_input(df, catalog, seq_max_lens, with_label, time_buckets, keep)
+        require_clean(audit)
+        return built
+    if on_oob != "clip":
         raise ValueError("on_oob must be 'clip' or 'error'")
     columns = [
         *[F.col(c) for c in keep],
@@ -85,6 +90,47 @@ def model_input(
     return df.select(*columns)
 
 
+def audited_input(
+    df: DataFrame,
+    catalog: Catalog,
+    seq_max_lens: dict[str, int] | None = None,
+    with_label: bool = True,
+    time_buckets: bool = True,
+    keep: Sequence[str] = (),
+) -> tuple[DataFrame, DataFrame]:
+    """The model inputs, written to the shared folder, and the rows of ``oob_audit`` from the same scan.
+
+    The audit's aggregates are observed while the rows pass on their way to the write, in the tasks that
+    write them, so the samples are read once. An empty table has an empty audit.
+    """
+    audited, aggregates = _audit_parts(df, catalog, seq_max_lens)
+    observation = Observation("audit")
+    seen = df.observe(observation, F.count(F.lit(1)).alias("n_rows"), *aggregates)
+    built = write_and_read(model_input(seen, catalog, seq_max_lens, with_label, time_buckets, keep=keep), "model-input")
+    found = observation.get
+    rows = [
+        (_side(f), f.column, f.vocab, found[f"n{i}"], found[f"l{i}"], found[f"h{i}"], "TOO_HIGH")
+        for i, f in enumerate(audited)
+        if found.get(f"n{i}")
+    ]
+    return built, df.sparkSession.createDataFrame(rows, AUDIT_TYPE)
+
+
+def _side(f: Feature) -> str:
+    return f.domain if f.grp == "seq" else f.grp
+
+
+def _audit_parts(df: DataFrame, catalog: Catalog, seq_max_lens: dict[str, int] | None) -> tuple[list[Feature], list[Column]]:
+    """The audited features, and for each the aggregates n, h and l: count, largest and smallest bad id."""
+    audited = [f for f in catalog.features if f.vocab > 0 and not f.is_ts]
+    aggregates = []
+    for i, f in enumerate(audited):
+        limit = catalog.max_len(f.domain, seq_max_lens) if f.grp == "seq" else f.dim
+        n, high, low = _row_oob(df, f, limit)
+        aggregates += [F.sum(n).alias(f"n{i}"), F.max(high).alias(f"h{i}"), F.min(low).alias(f"l{i}")]
+    return audited, aggregates
+
+
 def oob_audit(df: DataFrame, catalog: Catalog, seq_max_lens: dict[str, int] | None = None) -> DataFrame:
     """Per audited column: how many ids are at or above its vocabulary, and their range.
 
@@ -93,15 +139,12 @@ def oob_audit(df: DataFrame, catalog: Catalog, seq_max_lens: dict[str, int] | No
     column; one global aggregate then shuffles a single row per task, however
     many ids the lists hold.
     """
-    audited = [f for f in catalog.features if f.vocab > 0 and not f.is_ts]
-    aggregates, entries = [], []
+    audited, aggregates = _audit_parts(df, catalog, seq_max_lens)
+    entries = []
     for i, f in enumerate(audited):
-        limit = catalog.max_len(f.domain, seq_max_lens) if f.grp == "seq" else f.dim
-        n, high, low = _row_oob(df, f, limit)
-        aggregates += [F.sum(n).alias(f"n{i}"), F.max(high).alias(f"h{i}"), F.min(low).alias(f"l{i}")]
         entries.append(
             F.struct(
-                F.lit(f.domain if f.grp == "seq" else f.grp).alias("grp"),
+                F.lit(_side(f)).alias("grp"),
                 F.lit(f.column).alias("column"),
                 F.lit(f.vocab).cast("bigint").alias("vocab"),
                 F.col(f"n{i}").cast("bigint").alias("oob_count"),
@@ -110,8 +153,7 @@ def oob_audit(df: DataFrame, catalog: Catalog, seq_max_lens: dict[str, int] | No
             )
         )
     if not entries:
-        kind = "grp string, column string, vocab bigint, oob_count bigint, min_oob bigint, max_oob bigint, direction string"
-        return df.sparkSession.createDataFrame([], kind)
+        return df.sparkSession.createDataFrame([], AUDIT_TYPE)
     # Only ids at or above the vocabulary are ever out of range, so the
     # direction has a single reachable value.
     return (
@@ -143,7 +185,12 @@ def _row_oob(df: DataFrame, f: Feature, limit: int) -> tuple[Column, Column, Col
 
 def require_in_vocab(df: DataFrame, catalog: Catalog, seq_max_lens: dict[str, int] | None = None) -> None:
     """Raise ``ValueError`` naming every column with ids outside its vocabulary."""
-    bad = oob_audit(df, catalog, seq_max_lens).orderBy("grp", "column").collect()
+    require_clean(oob_audit(df, catalog, seq_max_lens))
+
+
+def require_clean(audit: DataFrame) -> None:
+    """Raise ``ValueError`` naming every column of an audit; it has one row per bad column."""
+    bad = audit.orderBy("grp", "column").collect()
     if bad:
         lines = [
             f"{r['column']} ({r['grp']}) has {r['oob_count']} ids between {r['min_oob']} and {r['max_oob']}, "

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from featlake.catalog import Catalog
+from featlake.catalog import Catalog, Feature
 from featlake.functions.ids import as_column, in_vocab_or_zero, pad_ids, padding_mask, used_length
 from featlake.functions.timebuckets import event_buckets, shifted_bucket
 from featlake.operators.ordering import CHUNK, CONTEXT, MAX_GROUP_ROWS, bounded_groups, first_k
@@ -117,6 +117,24 @@ def truncated(catalog: Catalog, seq_max_lens: dict[str, int] | None = None) -> l
     ]
 
 
+def slot_means(df: DataFrame, catalog: Catalog, domain: str, keys: Sequence[str], max_len: int, name: str) -> DataFrame:
+    """One row per (sample, slot): the mean id over the positions below the domain length.
+
+    The same rows as ``mean_pool`` over ``stack_long``, folded inside each row: nothing is exploded
+    by position and nothing is shuffled. A sample with an empty domain has no row.
+    """
+    length = F.col("_len")
+
+    def mean(f: Feature) -> Column:
+        ids = F.slice(f.column, F.lit(1), length)
+        total = F.aggregate(ids, F.lit(0).cast("bigint"), lambda acc, x: acc + in_vocab_or_zero(x, f.vocab))
+        return F.coalesce(total, F.lit(0)) / length
+
+    means = [F.struct(F.lit(f.slot).alias("slot"), mean(f).alias(name)) for f in catalog.side_info(domain)]
+    measured = df.withColumn("_len", domain_length(catalog, domain, max_len)).filter(length > 0)
+    return measured.select(*keys, F.inline(F.array(*means)))
+
+
 def mean_pool(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """Masked mean over long rows: every given position counts, id 0 included."""
     return df.groupBy(*keys).agg((F.sum(value) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias(name))

@@ -172,6 +172,12 @@ def oob_audit(spark: SparkSession, sf: str) -> DataFrame:
     return clean.oob_audit(t.wide_samples(spark, sf), t.CATALOG, t.SEQ_MAX_LENS)
 
 
+@query("oob_audit_while_writing", f"WITH {sql.WIDE}, {_audited_sql()} SELECT * FROM oob")
+def oob_audit_while_writing(spark: SparkSession, sf: str) -> DataFrame:
+    """The audit as it is observed while the model inputs are written: one scan for both."""
+    return clean.audited_input(t.wide_samples(spark, sf), t.CATALOG, t.SEQ_MAX_LENS, keep=["event_id"])[1]
+
+
 @query(
     "oob_report",
     f"""WITH {sql.WIDE}, {_audited_sql()}

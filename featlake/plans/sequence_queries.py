@@ -124,8 +124,8 @@ def seq_mask(spark: SparkSession, sf: str) -> DataFrame:
 SELECT event_id, slot, {sql.r6('sum(id) / greatest(count(*), 1)')} AS pooled FROM long_seq_a GROUP BY event_id, slot""",
 )
 def seq_mean_pool(spark: SparkSession, sf: str) -> DataFrame:
-    long = sequence.stack_long(t.wide_samples(spark, sf), t.CATALOG, "seq_a", ["event_id"], t.SEQ_MAX_LENS["seq_a"])
-    pooled = sequence.mean_pool(long, ["event_id", "slot"], "id", "pooled")
+    samples = t.wide_samples(spark, sf)
+    pooled = sequence.slot_means(samples, t.CATALOG, "seq_a", ["event_id"], t.SEQ_MAX_LENS["seq_a"], "pooled")
     return pooled.withColumn("pooled", t.rounded("pooled"))
 
 

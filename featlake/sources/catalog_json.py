@@ -13,7 +13,7 @@ DOCUMENT_TYPE = (
     "user_dense array<array<bigint>>, "
     "seq map<string, struct<prefix: string, ts_fid: bigint, features: array<array<bigint>>>>"
 )
-GROUPS_TYPE = "user_ns_groups map<string, array<bigint>>, item_ns_groups map<string, array<bigint>>"
+GROUPS_TYPE = "user_ns_groups map<string, string>, item_ns_groups map<string, string>"
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -166,12 +166,22 @@ def read_groups(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_groups(documents: DataFrame, column: str) -> DataFrame:
-    doc = documents.select(F.from_json(column, GROUPS_TYPE).alias("d")).select("d.*")
+    """(side, group_name, pos, fid) rows of groups documents.
+
+    Names that start with an underscore are notes, whatever they hold. A document that isn't a JSON object and a group that
+    isn't a list of ids raise when the rows are read; a side that is absent has no groups.
+    """
+    strict = {"mode": "FAILFAST"}
+    parsed = F.from_json(column, GROUPS_TYPE, strict)
+    whole = F.when(parsed.isNull(), F.raise_error(F.lit("groups document is empty"))).otherwise(parsed)
+    doc = documents.select(whole.alias("d")).select("d.*")
     sides = F.array(
         F.struct(F.lit("user_int").alias("side"), F.col("user_ns_groups").alias("named")),
         F.struct(F.lit("item_int").alias("side"), F.col("item_ns_groups").alias("named")),
     )
-    groups = doc.select(F.inline(sides)).select("side", F.explode("named").alias("group_name", "fids"))
-    return groups.filter(~F.col("group_name").startswith("_")).select(
-        "side", "group_name", F.posexplode("fids").alias("pos", "fid")
-    )
+    given = doc.select(F.inline(sides)).select("side", F.explode("named").alias("group_name", "text"))
+    groups = given.filter(~F.col("group_name").startswith("_"))
+    fids = F.from_json("text", "array<bigint>", strict)
+    named = F.concat(F.lit("feature group "), F.col("group_name"), F.lit(" isn't a list of ids"))
+    listed = F.when(fids.isNull() | F.exists(fids, lambda x: x.isNull()), F.raise_error(named)).otherwise(fids)
+    return groups.select("side", "group_name", F.posexplode(listed).alias("pos", "fid"))

@@ -133,3 +133,15 @@ def test_a_table_without_feature_columns_has_an_empty_catalog(spark):
     df = spark.createDataFrame([(1, 2)], "user_id bigint, other int")
     assert profile.infer_catalog(df).count() == 0 and profile.detect_time_columns(df).count() == 0
     assert profile.infer_catalog(df.withColumn("user_int_feats_1", profile.F.lit(3))).schema.names == profile.infer_catalog(df).schema.names
+
+
+@pytest.mark.parametrize("bad", ["not json", "", '{"user_ns_groups": {"U1": "one"}}', '{"user_ns_groups": {"U1": [1, "x"]}}', '{"user_ns_groups": 7}'])
+def test_a_bad_groups_document_raises(spark, bad):
+    with pytest.raises(Exception, match="groups document|feature group|MALFORMED"):
+        catalog_json.parse_groups(spark.createDataFrame([(bad,)], "doc string"), "doc").collect()
+
+
+def test_notes_inside_a_side_of_any_type(spark):
+    doc = '{"_note": 1, "user_ns_groups": {"_why": "text", "_n": {"a": 1}, "U1": [15, 1]}}'
+    rows = catalog_json.parse_groups(spark.createDataFrame([(doc,)], "doc string"), "doc").collect()
+    assert sorted(map(tuple, rows)) == [("user_int", "U1", 0, 15), ("user_int", "U1", 1, 1)]

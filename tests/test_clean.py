@@ -112,3 +112,15 @@ def test_stream_equals_batch(spark, samples, tmp_path):
     samples.withColumn("user_id", F.col("user_id") + 10).write.mode("append").parquet(source)
     write_available(stream, out, str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(out).count() == 2 * len(ROWS)
+
+
+def test_audit_while_writing_equals_the_audit(samples):
+    lens = {"seq_a": 4, "seq_b": 2}
+    built, audit = clean.audited_input(samples, CATALOG, lens)
+    assert sorted(map(tuple, audit.collect())) == sorted(map(tuple, clean.oob_audit(samples, CATALOG, lens).collect()))
+    text = lambda df: sorted(map(str, df.collect()))
+    assert text(built) == text(clean.model_input(samples, CATALOG, lens))
+    empty, none = clean.audited_input(samples.limit(0), CATALOG, lens)
+    assert empty.count() == 0 and none.count() == 0
+    _, unaudited = clean.audited_input(samples, Catalog([Feature("user_int", 3, "user_int_feats_3", 0)]))
+    assert unaudited.count() == 0

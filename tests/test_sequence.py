@@ -113,3 +113,24 @@ def test_dropout(spark, sf_dir):
     dropped = sum(a != b for a, b in pairs) / len(pairs)
     assert 0.08 < dropped < 0.12
     assert sorted(map(str, rows)) == sorted(map(str, QUERIES["position_dropout"](spark, sf_dir).collect()))
+
+
+def test_slot_means_equal_the_pooled_long_rows_without_a_shuffle(spark):
+    rows = [(1, [3, 9, None, 2, 5], [1, 1]), (2, None, [7, 2]), (3, [], []), (4, None, None), (5, [4], [1, 2, 3, 4])]
+    df = spark.createDataFrame(rows, "id bigint, a_seq_1 array<bigint>, a_seq_2 array<bigint>")
+    catalog = Catalog(
+        [
+            Feature("seq", 1, "a_seq_1", 6, domain="seq_a"),
+            Feature("seq", 2, "a_seq_2", 0, domain="seq_a"),
+        ]
+    )
+    for catalog in (catalog, Catalog([Feature("seq", 2, "a_seq_2", 5, domain="seq_a")])):
+        pooled = sequence.slot_means(df, catalog, "seq_a", ["id"], 3, "mean")
+        long = sequence.stack_long(df, catalog, "seq_a", ["id"], 3)
+        plan = pooled._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
+        got = {(r["id"], r["slot"]): r["mean"] for r in pooled.collect()}
+        sums = {}
+        for r in long.toDF("k", "pos", "slot", "value").collect():
+            sums.setdefault((r["k"], r["slot"]), []).append(r["value"])
+        assert got == {k: sum(v) / len(v) for k, v in sums.items()}
