@@ -13,12 +13,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from featlake.session import storing, write_and_read
+
 #: Words a worker remembers the hash of; later ones are hashed each time.
 REMEMBERED_WORDS = 400_000
 
 #: Characters handed to one vectorised step; a single longer text is a step of its own.
 STEP_CHARS = 2_000_000
 
+#: Bits of the bitmap that sets rows apart by their key.
+APART_BITS = 1 << 26
+
 MIX_1, MIX_2, MIX_3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -125,17 +130,37 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
+def _bitmap(df: DataFrame, slot: Column) -> DataFrame:
+    """The bitmap of all rows' slots in pieces of 4 kB: bucket (from 1) and bits."""
+    slots = df.select((slot + 1).alias("slot"))
+    return slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")
+    )
+
+
+def apart(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose bigint ``key`` may be among ``keys``, and all others (null keys too), which stay in place.
+
+    Tasks get a bitmap of a fixed size. It names all rows that are among ``keys`` and, as it fills up,
+    more of the others: the first rows still have to meet ``keys`` exactly, but few long rows are shuffled for it.
+    """
+    slot = F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(APART_BITS))
+    bits = write_and_read(_bitmap(keys.where(F.col(key).isNotNull()), slot), "bitmap")
+    bits = bits.select(F.col("bucket").alias("_bucket"), F.col("bits").alias("_bits"))
+    at = F.bitmap_bit_position(slot + 1)
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("bigint")
+    named = F.col(key).isNotNull() & F.coalesce(F.getbit(byte, at.bitwiseAND(7).cast("int")) == 1, F.lit(False))
+    met = rows.join(F.broadcast(bits), F.bitmap_bucket_number(slot + 1) == F.col("_bucket"), "left")
+    return met.where(named).drop("_bucket", "_bits"), met.where(~named).drop("_bucket", "_bits")
+
+
 def bitmap_of(df: DataFrame, slot: Column, bits: int) -> np.ndarray:
     """A bitmap of ``bits`` bits with the slots of all rows set: a fixed size, whatever the rows.
 
     Spark merges partial bitmaps of 4 kB; the driver gets at most bits / 8 bytes.
     """
-    slots = df.select((slot + 1).alias("slot"))
-    parts = (
-        slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-        .collect()
-    )
+    with storing(df.sparkSession):
+        parts = _bitmap(df, slot).collect()
     out = np.zeros(bits // 8, np.uint8)
     for row in parts:
         at = (row["bucket"] - 1) * 4096

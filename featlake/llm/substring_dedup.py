@@ -25,10 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featlake.llm.common import bitmap_of, by_arrow, give_back, in_bitmap, rolled, word_hashes
+from featlake.llm.common import apart, bitmap_of, by_arrow, give_back, in_bitmap, rolled, word_hashes
 from featlake.session import write_and_read
 
-BITS, ID_BITS = 1 << 27, 1 << 26
+BITS = 1 << 27
 PASSAGE = "anchor bigint, passage_key bigint, passage binary, doc_id bigint, doc_key bigint, start bigint"
 SHARD_PASSAGES = 4_000
 
@@ -253,21 +253,12 @@ def deduplicated(docs: DataFrame, span: int = 20) -> DataFrame:
     rows = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, "text").alias("_key"), *(F.col(f"`{c}`") for c in others))
     gone = removals(docs, span).select(F.col("doc_id").alias("_id"), F.col("doc_key").alias("_doc_key"), F.col("windows").alias("_windows"))
     gone = write_and_read(gone, "removals")
-    slot = lambda name: F.col(name).bitwiseAND(ID_BITS - 1)
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap_of(gone, slot("_doc_key"), ID_BITS))
-
-    def touched(keys: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for key in keys:
-            yield pd.Series(in_bitmap(sent.value, key.to_numpy() & (ID_BITS - 1)))
-
     # texts that lose nothing stay where they are; the others meet their windows by a shuffle
-    touched = F.pandas_udf(touched, "boolean")
-    flagged = rows.withColumn("_touched", touched("_key"))
-    hit = flagged.where("_touched")
+    hit, whole = apart(rows, gone.select(F.col("_doc_key").alias("_key")), "_key")
     joined = hit.join(gone, hit._key.eqNullSafe(gone._doc_key) & hit.doc_id.eqNullSafe(gone._id), "left")
     columns = ["doc_id", *(F.col(f"`{c}`") for c in others)]
     given = joined.select(*columns, "_windows").unionByName(
-        flagged.where("not _touched").select(*columns, F.lit(None).cast(gone.schema["_windows"].dataType).alias("_windows"))
+        whole.select(*columns, F.lit(None).cast(gone.schema["_windows"].dataType).alias("_windows"))
     )
     text = given.columns.index("text")
 

@@ -4,9 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Settings while an intermediate is stored or collected: shuffle files go when the query that wrote them ends, since later
+#: steps read what it stored, and rows with long texts go to Python workers in batches of a few MB.
+STORING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
+}
+
 
 def build_session(app_name: str = "featlake", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators expect; ``conf`` overrides any of them."""
@@ -46,6 +55,19 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders[context.applicationId].name
 
 
+@contextmanager
+def storing(spark: SparkSession) -> Iterator[None]:
+    """The settings STORING for the queries that run inside, and the session's own ones after that."""
+    before = {key: spark.conf.get(key, None) for key in STORING}
+    try:
+        for key, value in STORING.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def write_and_read(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, cutting its lineage.
 
@@ -54,5 +76,6 @@ def write_and_read(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with storing(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
