@@ -21,6 +21,8 @@ from featlake.session import write_and_read
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 # Lists up to this long are pooled slot by slot when the table is broadcast.
 MAX_SLOTS = 16
+# Ids of the large form that one task adds up; more of them take more tasks.
+POOLED_IDS = 250_000
 
 
 def fits_broadcast(table: DataFrame, width: int, limit: int | None = None) -> bool:
@@ -124,8 +126,9 @@ def bag_mean(
     Null and empty lists give zeros. Rows that repeat ``keys`` are pooled one by one.
 
     Small table: one broadcast join per slot and no shuffle at all. Otherwise
-    ids are exploded and joined, and vectors are averaged as ``width`` plain
-    aggregates, so tasks combine a row's ids before anything is shuffled.
+    ids are exploded and joined, vectors are brought to their row as they are, and averaged there as
+    ``width`` plain aggregates. A row's ids lie in many tasks of the join, so sums made before the shuffle would be as many as
+    the ids, and a task would hold them all; a task of the shuffle holds the sums of about POOLED_IDS ids.
     Only ``keys`` are kept.
     """
     df = df.select(*keys, F.slice(ids, 1, n_slots).alias(ids))
@@ -149,7 +152,12 @@ def bag_mean(
     joined = keyed.join(vectors.hint("merge"), "_key", "left")
     sums = [F.coalesce(F.sum(F.get("_vec", F.lit(d)).cast("double")), F.lit(0.0)) for d in range(width)]
     n = F.greatest(F.count_if(F.col("_id") > 0), F.lit(1))
-    pooled = joined.groupBy("_row").agg(*[F.first(k).alias(k) for k in keys], F.array(*[s / n for s in sums]).alias(name))
+    n_ids = numbered.agg(F.sum(F.greatest(F.coalesce(F.array_size(ids), F.lit(0)), F.lit(1)))).first()[0] or 0
+    n_tasks = -(-n_ids // POOLED_IDS)
+    # below the session's number, adaptive execution may merge small tasks
+    own = [n_tasks] if n_tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+    placed = joined.select(*keys, "_row", "_id", "_vec").repartition(*own, "_row")
+    pooled = placed.groupBy("_row").agg(*[F.first(k).alias(k) for k in keys], F.array(*[s / n for s in sums]).alias(name))
     return pooled.select(*keys, name)
 
 

@@ -109,3 +109,13 @@ def test_pooling_on_a_small_table_moves_no_rows(spark, table):
     df = spark.createDataFrame([(1, [1, 2])], "r bigint, ids array<bigint>").withColumn("r", F.col("r"))
     plan = embed.bag_mean(df, ["r"], "ids", 2, 1, table, WIDTH)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan
+
+
+def test_shuffled_pooling_adds_up_after_the_shuffle_only(spark, table, monkeypatch):
+    df = spark.createDataFrame([(i, [1, 2, 3]) for i in range(10)], "r bigint, ids array<bigint>")
+    plan = embed.bag_mean(df, ["r"], "ids", 3, 1, table, WIDTH, limit=0)._jdf.queryExecution().executedPlan().toString()
+    at = plan.index("Exchange hashpartitioning(_row")
+    assert "partial_sum" in plan[:at] and "partial_sum" not in plan[at:]  # no map of sums in the tasks of the join
+    monkeypatch.setattr(embed, "POOLED_IDS", 2)
+    plan = embed.bag_mean(df, ["r"], "ids", 3, 1, table, WIDTH, limit=0)._jdf.queryExecution().executedPlan().toString()
+    assert ", 15), REPARTITION_BY_NUM" in plan  # tasks grow with the ids
