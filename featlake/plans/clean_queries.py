@@ -227,6 +227,8 @@ def model_input(spark: SparkSession, sf: str) -> DataFrame:
 
 def _domain_texts(catalog: Catalog):
     for domain in catalog.domains:
-        yield t.joined_text(F.flatten(domain)).alias(domain)
-        yield F.col(f"{domain}_len")
-        yield t.joined_text(F.col(f"{domain}_time_bucket")).alias(f"{domain}_time_bucket")
+        width, used = catalog.max_len(domain, t.SEQ_MAX_LENS), F.col(f"{domain}_len")
+        rows = [t.padded_text(F.get(domain, F.lit(i)), used, width) for i in range(len(catalog.side_info(domain)))]
+        yield F.concat_ws(",", *rows).alias(domain)
+        yield used
+        yield t.padded_text(F.col(f"{domain}_time_bucket"), used, width).alias(f"{domain}_time_bucket")

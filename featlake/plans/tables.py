@@ -230,6 +230,19 @@ def joined_text(column: Column) -> Column:
     return F.array_join(column.cast("array<string>"), ",")
 
 
+def padded_text(column: Column, used: Column, width: int) -> Column:
+    """``joined_text`` of a list of ``width`` ids without nulls that is 0 from position ``used`` on, as a rule.
+
+    The padding is most of a list and is appended as one text; a list with an id behind ``used`` is printed in full.
+    """
+    behind = F.slice(column, used + 1, F.lit(width))
+    zeros = F.coalesce((F.array_max(behind) == 0) & (F.array_min(behind) == 0), F.lit(False))
+    padded = zeros & (used > 0) & (F.array_size(column) == width)
+    return F.when(padded, F.concat(joined_text(F.slice(column, F.lit(1), used)), F.repeat(F.lit(",0"), F.lit(width) - used))).otherwise(
+        joined_text(column)
+    )
+
+
 def rounded(column: Column | str) -> Column:
     """Six decimals, without a negative zero."""
     column = F.col(column) if isinstance(column, str) else column

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from featlake.catalog import Catalog, Feature
 from featlake.operators import clean
+from featlake.plans import tables as t
 from featlake.sources.sinks import write_audit_report
 from featlake.streaming.incremental import stream_model_input, write_available
 
@@ -124,3 +125,12 @@ def test_audit_while_writing_equals_the_audit(samples):
     assert empty.count() == 0 and none.count() == 0
     _, unaudited = clean.audited_input(samples, Catalog([Feature("user_int", 3, "user_int_feats_3", 0)]))
     assert unaudited.count() == 0
+
+
+def test_padded_text_is_the_text_of_the_whole_list(spark):
+    rows = [([1, 2, 0, 0], 2), ([0, 0, 0, 0], 0), ([0, 0, 0, 0], 2), ([1, 2, 3, 4], 4), ([1, 0, 5, 0], 1), ([1, 0, -5, 0], 1), ([1, 0], 1), ([], 0), (None, 0), ([7], 3)]
+    df = spark.createDataFrame(rows, "a array<bigint>, n int")
+    got = df.select(t.padded_text(F.col("a"), F.col("n"), 4).alias("x"), t.joined_text(F.col("a")).alias("y")).collect()
+    assert [r.x for r in got] == [r.y for r in got] and got[0].x == "1,2,0,0"
+    plan = df.select(t.padded_text(F.col("a"), F.col("n"), 4))._jdf.queryExecution().executedPlan().toString()
+    assert "repeat(,0" in plan
