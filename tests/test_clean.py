@@ -134,3 +134,11 @@ def test_padded_text_is_the_text_of_the_whole_list(spark):
     assert [r.x for r in got] == [r.y for r in got] and got[0].x == "1,2,0,0"
     plan = df.select(t.padded_text(F.col("a"), F.col("n"), 4))._jdf.queryExecution().executedPlan().toString()
     assert "repeat(,0" in plan
+
+
+def test_audited_input_is_read_back_whole(spark, sf_dir):
+    wide = t.wide_samples(spark, sf_dir)
+    built, _ = clean.audited_input(wide, t.CATALOG, t.SEQ_MAX_LENS, keep=["event_id"])
+    plain = clean.model_input(wide, t.CATALOG, t.SEQ_MAX_LENS, keep=["event_id"])
+    assert all(f.endswith(".orc") for f in built.inputFiles()) and built.schema.simpleString() == plain.schema.simpleString()
+    assert built.exceptAll(plain).isEmpty() and plain.exceptAll(built).isEmpty()
