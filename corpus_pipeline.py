@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featlake.llm import decontaminate, language, near_dedup, packing, substring_dedup
-from featlake.llm.common import table
+from featlake.llm.common import apart, table
 from featlake.llm.tokens import tokenizer_path
 from featlake.session import write_and_read
 
@@ -29,10 +29,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows that repeat an id and text are one document.
     """
-    found = near_dedup.near_duplicates(docs, shingle_words=5, percent=80)
-    gone = found.where("not kept").select("doc_id").distinct()
-    left = docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
-    return left.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(left.where("doc_id is null"))
+    found = near_dedup.near_duplicates(docs, shingle_words=5, percent=80).where("doc_id is not null")
+    by_id = found.groupBy("doc_id").agg(F.bool_or(~F.col("kept")).alias("gone"), F.count("*").alias("n"))
+    named = write_and_read(by_id.where("gone or n > 1"), "gone-or-repeated")
+    some, others = apart(docs.select(COLUMNS), named.select("doc_id"), "doc_id")
+    left = some.join(named.where("gone").select("doc_id"), "doc_id", "left_anti").select(COLUMNS)
+    return left.dropDuplicates(["doc_id", "text"]).unionByName(others)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +47,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop rows that overlap a benchmark item in 13 words with at most a fifth changed."""
-    leaks = decontaminate.overlaps(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(COLUMNS)
+    leaks = write_and_read(decontaminate.overlaps(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
+    some, others = apart(docs.select(COLUMNS), leaks, "doc_id")
+    return some.join(leaks, "doc_id", "left_anti").select(COLUMNS).unionByName(others)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

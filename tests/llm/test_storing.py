@@ -3,6 +3,7 @@
 import time
 from pathlib import Path
 
+import corpus_pipeline as pipeline
 from featlake.llm.common import apart
 from featlake.session import STORING, storing, write_and_read
 from pyspark.sql import functions as F
@@ -43,3 +44,20 @@ def test_apart_names_every_key_and_keeps_null(spark):
     assert others.count() == 499 and others.where("k is null").count() == 1 and others.columns == ["k", "t"]
     some, others = apart(rows, keys.where("false"), "k")
     assert some.count() == 0 and others.count() == 502
+
+
+def test_kept_documents_are_not_shuffled(spark, tmp_path, sf_dir):
+    words = [f"w{i}x{j} " for i in range(12) for j in range(7)]
+    rows = [(i, " ".join(words[(i * 5 + k * (i + 3)) % len(words)] + str(i) for k in range(30)), "en", "s", 1) for i in range(40)]
+    rows += [(100, rows[3][1], "en", "s", 1), (5, rows[5][1], "en", "s", 1), (5, rows[5][1], "en", "s", 1), (None, rows[3][1], "en", "s", 1)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(4).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    placed = lambda df: df.select("doc_id", F.spark_partition_id().alias("p")).collect()
+    place = {r.doc_id: r.p for r in placed(docs)}
+    assert len(set(place.values())) > 1
+    kept = placed(pipeline.near_duplicates(spark, docs, sf_dir))
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [(False, i) for i in range(40)] + [(True, 0)]
+    clean = placed(pipeline.decontamination(spark, docs, sf_dir))
+    assert len(clean) == 44
+    for found in (kept, clean):  # rows of a partition were together before
+        assert len({(r.p, place[r.doc_id]) for r in found if r.doc_id != 5}) == len({r.p for r in found if r.doc_id != 5})
